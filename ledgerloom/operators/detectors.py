@@ -225,12 +225,12 @@ def collusion_rings(
     sliced = time_slices(txns, ts, seconds)
     again = F.lead("__us").over(W.partitionBy(merchant, amount, "__slice", card).orderBy("__us", *order))
     leaves = F.least(F.col("__us") + F.lit(seconds * SECOND + 1), again)
-    steps = sliced.withColumn(
+    steps = sliced.withColumn("__leaves", leaves).withColumn(
         "__step",
         F.explode(
             F.array(
                 F.struct(F.col("__us").alias("at"), F.lit(1).alias("delta")),
-                F.struct(leaves.alias("at"), F.lit(-1).alias("delta")),
+                F.struct(F.col("__leaves").alias("at"), F.lit(-1).alias("delta")),
             )
         ),
     )
@@ -242,6 +242,6 @@ def collusion_rings(
         .drop("__step")
         .withColumn("ring_cards", F.sum("__delta").over(running))
         .filter((F.col("__delta") == 1) & (F.col("ring_cards") >= cards))
-        .drop("__at", "__delta")
+        .drop("__at", "__delta", "__leaves")
     )
     return _own(counted)

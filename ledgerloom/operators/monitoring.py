@@ -26,7 +26,13 @@ def _flatten(df: DataFrame, keys: Sequence[str], *rest: Column | str) -> DataFra
 
 
 def alarm_counts(
-    calls: DataFrame, keys: Sequence[str], *, ts: str = "ts", latency: str = "latency_ms", approximate: bool = False
+    calls: DataFrame,
+    keys: Sequence[str],
+    *,
+    ts: str = "ts",
+    latency: str = "latency_ms",
+    period: str = ALARM_PERIOD,
+    approximate: bool = False,
 ) -> DataFrame:
     """p95 latency, errors and refusals per window and key.
 
@@ -38,13 +44,13 @@ def alarm_counts(
     if approximate:
         p95 = F.percentile_approx(latency, 0.95, 10_000).cast("double")
         return _flatten(
-            _windowed(calls, ts, ALARM_PERIOD, keys).agg(
+            _windowed(calls, ts, period, keys).agg(
                 p95.alias("p95_ms"), errors, refusals, F.count(F.lit(1)).alias("calls")
             ),
             keys, "p95_ms", "errors", "refusals", "calls",
         )
     counted = calls.groupBy(
-        F.window(F.col(ts), ALARM_PERIOD).alias("window"), *keys, F.col(latency).cast("long").alias("__ms")
+        F.window(F.col(ts), period).alias("window"), *keys, F.col(latency).cast("long").alias("__ms")
     ).agg(F.count(F.lit(1)).alias("__n"), errors, refusals)
     folded = counted.groupBy("window", *keys).agg(
         F.percentile("__ms", 0.95, F.col("__n")).alias("p95_ms"),
@@ -55,7 +61,13 @@ def alarm_counts(
     return _flatten(folded, keys, "p95_ms", "errors", "refusals", "calls")
 
 
-def alarms(counts: DataFrame, *, p95_ms: float = LATENCY_P95_MS, errors: int = ERROR_COUNT, refusals: int = REFUSAL_COUNT) -> DataFrame:
+def alarms(
+    counts: DataFrame,
+    *,
+    p95_ms: float = LATENCY_P95_MS,
+    errors: int = ERROR_COUNT,
+    refusals: int = REFUSAL_COUNT,
+) -> DataFrame:
     """Windows that breach any threshold, with one flag per alarm."""
     return (
         counts.withColumns(

@@ -96,7 +96,7 @@ class Tables:
             coded("RM", "n_nationkey").alias("relationship_manager_id"),
             F.when(~(in_debt & (F.col("c_mktsegment") == "HOUSEHOLD")), F.abs("c_acctbal") * 120).alias("annual_income"),
             F.when(
-                ~in_debt, F.date_add(F.lit(date(1935, 1, 1)), ((F.col("c_custkey") * 37) % 25000).cast("int"))
+                ~in_debt, F.date_add(F.lit(date(1935, 1, 1)), ((F.col("c_custkey") * 733) % 25000).cast("int"))
             ).alias("date_of_birth"),
             "_batch_id",
         )

@@ -33,7 +33,7 @@ VIEWS: dict[str, str] = {
                CAST(o_orderdate AS DATE) AS onboarded_date, 'RM' || n_nationkey AS relationship_manager_id,
                CASE WHEN NOT (c_acctbal < 0 AND c_mktsegment = 'HOUSEHOLD') THEN abs(c_acctbal) * 120 END
                    AS annual_income,
-               CASE WHEN c_acctbal >= 0 THEN DATE '1935-01-01' + CAST((c_custkey * 37) % 25000 AS INTEGER) END
+               CASE WHEN c_acctbal >= 0 THEN DATE '1935-01-01' + CAST((c_custkey * 733) % 25000 AS INTEGER) END
                    AS date_of_birth,
                strftime(o_orderdate, {MONTH}) AS _batch_id
         FROM (SELECT * FROM orders QUALIFY row_number() OVER (
@@ -280,4 +280,9 @@ def statement(body: str) -> str:
                 needed.add(name)
                 pending.append(VIEWS[name])
     parts = [f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed]
-    return (f"WITH {', '.join(parts)} " if parts else "") + body.strip()
+    body = body.strip()
+    if not parts:
+        return body
+    # A body with subqueries of its own continues the list.
+    own = re.match(r"WITH\s+(?!RECURSIVE)", body)
+    return f"WITH {', '.join(parts)}" + (f", {body[own.end():]}" if own else f" {body}")
