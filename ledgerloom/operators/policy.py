@@ -2,44 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.plans import catalog
+from ledgerloom.session import fixed_rows
 
+_RULES = "array<struct<rule: string, name: string, words: array<string>>>"
 POLICY_SCHEMA = (
-    "product string, version string, prohibited array<string>, "
-    "columns map<string, struct<prohibited: array<string>, allowed: array<string>>>"
+    f"product: string, version: string, prohibited: {_RULES}, "
+    f"columns: map<string, struct<prohibited: {_RULES}, allowed: array<string>>>"
 )
 
 
+def _rules(uses: Sequence[str]) -> list[dict[str, object]]:
+    """Rules with their words split once, here, instead of for every request."""
+    names = [text.use_label(use) for use in uses]
+    return [
+        {"rule": use, "name": name, "words": sorted({w for w in name.split("_") if w})}
+        for use, name in zip(uses, names, strict=True)
+    ]
+
+
 def policy_table(
     spark: SparkSession, contracts: Mapping[str, catalog.Contract] | None = None
 ) -> DataFrame:
     """One row per product, its columns' rules nested in a map (bounded by the contracts)."""
     contracts = catalog.CONTRACTS if contracts is None else contracts
     rows = [
-        (
-            c.product,
-            c.version,
-            list(c.not_allowed_use),
-            {col.name: (list(col.not_allowed_use), list(col.allowed_use)) for col in c.columns},
-        )
+        {
+            "product": c.product,
+            "version": c.version,
+            "prohibited": _rules(c.not_allowed_use),
+            "columns": {
+                col.name: {
+                    "prohibited": _rules(col.not_allowed_use),
+                    "allowed": [text.use_label(use) for use in col.allowed_use],
+                }
+                for col in c.columns
+            },
+        }
         for c in contracts.values()
     ]
-    return spark.createDataFrame(rows, POLICY_SCHEMA)
+    return fixed_rows(spark, rows, POLICY_SCHEMA)
 
 
 def _covering_rule(rules: Column, use: Column, tokens: Column) -> Column:
     """The rule a use falls under: the same name first, else one whose words it contains."""
-    same = F.filter(rules, lambda r: text.use_name(r) == use)
+    same = F.filter(rules, lambda r: r["name"] == use)
     contained = F.filter(
-        rules,
-        lambda r: (F.size(text.use_tokens(text.use_name(r))) > 0)
-        & (F.size(F.array_except(text.use_tokens(text.use_name(r)), tokens)) == 0),
+        rules, lambda r: (F.size(r["words"]) > 0) & (F.size(F.array_except(r["words"], tokens)) == 0)
     )
     return F.coalesce(F.get(same, F.lit(0)), F.get(contained, F.lit(0)))
 
@@ -71,11 +86,11 @@ def verdicts(requests: DataFrame, policy: DataFrame) -> DataFrame:
         )
     )
     allow_list = F.col("__rule.allowed")
-    outside = (F.size(allow_list) > 0) & ~F.array_contains(F.transform(allow_list, text.use_name), F.col("__use"))
+    outside = (F.size(allow_list) > 0) & ~F.array_contains(allow_list, F.col("__use"))
     source = F.concat(F.col("product"), F.lit("@"), F.col("__version"))
     quoted = F.concat(F.lit("'"), F.col("use"), F.lit("'"))
-    narrower = F.when(text.use_name(F.col("__product_hit")) == F.col("__use"), "").otherwise(
-        F.concat(F.lit(" because it is a form of '"), F.col("__product_hit"), F.lit("'"))
+    narrower = F.when(F.col("__product_hit.name") == F.col("__use"), "").otherwise(
+        F.concat(F.lit(" because it is a form of '"), F.col("__product_hit.rule"), F.lit("'"))
     )
     reason = (
         F.when(F.col("__version").isNull(), F.concat(F.lit("unknown product '"), F.col("product"), F.lit("'")))
@@ -93,7 +108,7 @@ def verdicts(requests: DataFrame, policy: DataFrame) -> DataFrame:
             F.col("__column_hit").isNotNull(),
             F.concat(
                 quoted, F.lit(" is prohibited for column '"), F.col("column"), F.lit("' of "), source,
-                F.lit(" because it is a form of '"), F.col("__column_hit"), F.lit("' (column not_allowed_use)"),
+                F.lit(" because it is a form of '"), F.col("__column_hit.rule"), F.lit("' (column not_allowed_use)"),
             ),
         )
         .when(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.plans.catalog import CONTRACTS, METRICS, Metric, metrics_of
+from ledgerloom.session import fixed_rows
 
 # Weights and thresholds of the two rankings.
 NAME_BONUS = 0.4
@@ -48,18 +49,18 @@ def rank_documents(documents: DataFrame, key: str, body: Column, name: Column, q
 def search_products(spark: SparkSession, query: str, limit: int = 5) -> DataFrame:
     """The catalogue ranked for a question: best score first, ties by name."""
     rows = [
-        (
-            c.product,
-            " ".join(
+        {
+            "product": c.product,
+            "body": " ".join(
                 [
                     c.product.replace("_", " "), c.domain, c.description, *c.column_names,
                     *[m.name for m in metrics_of(c.product)], *c.allowed_use,
                 ]
             ),
-        )
+        }
         for c in CONTRACTS.values()
     ]
-    entries = spark.createDataFrame(rows, "product string, body string")
+    entries = fixed_rows(spark, rows, "product: string, body: string")
     ranked = rank_documents(entries, "product", F.col("body"), F.col("product"), query)
     return ranked.orderBy(F.col("score").desc(), "product").limit(limit)
 

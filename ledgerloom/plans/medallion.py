@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -80,18 +81,32 @@ GOLD: tuple[Transform, ...] = (
 ALL_JOBS: tuple[publish.Job, ...] = tuple(t.job for t in (*SILVER, *GOLD))
 
 
+def together(steps: Mapping[str, Callable[[], int]]) -> dict[str, int]:
+    """Run independent writes at once, so that small jobs do not leave executors idle."""
+    with ThreadPoolExecutor(max(len(steps), 1)) as pool:
+        running = {name: pool.submit(step) for name, step in steps.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def ingest_bronze(zones: Zones, landing: str) -> dict[str, int]:
-    return ingest.ingest_bronze(zones, landing)
+    def copy(source: str, entity: str) -> Callable[[], int]:
+        return lambda: ingest.ingest(zones, f"bronze.{source}_{entity}", f"{landing}/{source}/{entity}")
+
+    return together(
+        {f"bronze.{s}_{e}": copy(s, e) for s, entities in ingest.SOURCES.items() for e in entities}
+    )
+
+
+def _write(zones: Zones, step: Transform, ctx: RunContext) -> int:
+    frame = step.build({name: zones.read(name) for name in step.inputs}, ctx)
+    if step.cluster_by:
+        frame = frame.repartitionByRange(*step.cluster_by)
+    return zones.write(step.output, frame, allow_empty=False)
 
 
 def _build(zones: Zones, transforms: Sequence[Transform], ctx: RunContext) -> dict[str, int]:
-    counts = {}
-    for step in transforms:
-        frame = step.build({name: zones.read(name) for name in step.inputs}, ctx)
-        if step.cluster_by:
-            frame = frame.repartitionByRange(*step.cluster_by)
-        counts[step.output] = zones.write(step.output, frame, allow_empty=False)
-    return counts
+    """The transforms of one layer do not depend on each other."""
+    return together({t.output: (lambda t=t: _write(zones, t, ctx)) for t in transforms})
 
 
 def build_silver(zones: Zones, ctx: RunContext) -> dict[str, int]:
@@ -113,19 +128,22 @@ def publish_all(zones: Zones, ctx: RunContext, *, enforce: bool = True) -> dict[
     spark = zones.spark
     named = sorted({r.dataset for r in PUBLISHED_RULES} | {r.reference for r in PUBLISHED_RULES if r.reference})
     tables = {name: zones.read(name) for name in named if zones.exists(name)}
-    counts = {
-        "ops.dq_results": zones.write(
-            "ops.dq_results", quality.stamped_results(quality.evaluate(spark, PUBLISHED_RULES, tables), ctx)
-        ),
-        "ops.lineage_edges": zones.write("ops.lineage_edges", publish.lineage_edges(spark, ALL_JOBS, ctx)),
-    }
+    evaluated = quality.stamped_results(quality.evaluate(spark, PUBLISHED_RULES, tables), ctx)
+    counts = together(
+        {
+            "ops.dq_results": lambda: zones.write("ops.dq_results", evaluated.coalesce(1)),
+            "ops.lineage_edges": lambda: zones.write(
+                "ops.lineage_edges", publish.lineage_edges(spark, ALL_JOBS, ctx)
+            ),
+        }
+    )
     results = zones.read("ops.dq_results")
     states = [
-        publish.product_state(c.product, zones.read(c.dataset), c.freshness_hours)
+        publish.product_state(c.product, tables[c.dataset], c.freshness_hours)
         for c in catalog.CONTRACTS.values()
-        if zones.exists(c.dataset)
+        if c.dataset in tables
     ]
-    counts["ops.sla_status"] = zones.write("ops.sla_status", publish.sla_status(states, results, ctx))
+    counts["ops.sla_status"] = zones.write("ops.sla_status", publish.sla_status(states, results, ctx).coalesce(1))
     counts["ops.catalog"] = zones.write(
         "ops.catalog",
         publish.catalog_snapshot(catalog.contract_table(spark), zones.read("ops.sla_status"), ctx),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.context import RunContext
 from ledgerloom.plans import catalog
+from ledgerloom.session import fixed_rows
 
 SUMMARY_FAILURES = 20
 
@@ -75,8 +76,9 @@ class Job:
 
 def lineage_edges(spark: SparkSession, jobs: Sequence[Job], ctx: RunContext) -> DataFrame:
     """One edge per declared input; a job only ever receives what it declares."""
-    edges = sorted({(i, j.output, j.name) for j in jobs for i in j.inputs if i != j.output})
-    return spark.createDataFrame(edges, "from_dataset string, to_dataset string, transform_id string").select(
+    pairs = sorted({(i, j.output, j.name) for j in jobs for i in j.inputs if i != j.output})
+    edges = [{"from_dataset": i, "to_dataset": o, "transform_id": name} for i, o, name in pairs]
+    return fixed_rows(spark, edges, "from_dataset: string, to_dataset: string, transform_id: string").select(
         "from_dataset",
         F.lit("").alias("from_column"),
         "to_dataset",
@@ -158,18 +160,19 @@ def contract_problems(
     floor come from aggregates over the table.
     """
     contracts = catalog.CONTRACTS if contracts is None else contracts
-    static: list[tuple[str, str, int]] = []
+    static: list[dict[str, object]] = []
     checks: list[DataFrame] = []
     for name, contract in contracts.items():
         df = tables.get(name)
         if df is None:
-            static.append((name, "gold table missing", 1))
+            static.append({"product": name, "problem": "gold table missing", "rows": 1})
             continue
         published, declared = set(df.columns), set(contract.column_names)
-        static += [(name, f"declared column not published: {c}", 1) for c in sorted(declared - published)]
-        static += [(name, f"published column not declared: {c}", 1) for c in sorted(published - declared)]
         keys = [k for k in contract.primary_key if k in published]
-        static += [(name, f"primary key not published: {k}", 1) for k in contract.primary_key if k not in published]
+        found = [f"declared column not published: {c}" for c in sorted(declared - published)]
+        found += [f"published column not declared: {c}" for c in sorted(published - declared)]
+        found += [f"primary key not published: {k}" for k in contract.primary_key if k not in published]
+        static += [{"product": name, "problem": problem, "rows": 1} for problem in found]
         wanted = [F.count_if(F.col(k).isNull()).alias(f"primary key has nulls: {k}") for k in keys]
         floor = contract.row_count_floor
         short = F.greatest(F.lit(floor) - F.count(F.lit(1)), F.lit(0))
@@ -178,8 +181,7 @@ def contract_problems(
         if keys:
             groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
             checks.append(_tall(groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("primary key repeats")), name))
-    schema = "product string, problem string, rows bigint"
-    parts = [spark.createDataFrame(static, schema), *checks]
+    parts = [fixed_rows(spark, static, "product: string, problem: string, rows: bigint"), *checks]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_DEFAULTS = {
     # Timestamps in the sources carry no zone; UTC keeps every cast reproducible.
@@ -20,6 +23,8 @@ SESSION_DEFAULTS = {
     "spark.sql.parquet.compression.codec": "zstd",
     # Batch ids look like dates but are strings, also as partition folders.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    # Python call sites on every column cost more than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -62,3 +67,13 @@ def materialise(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(durable_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def fixed_rows(spark: SparkSession, rows: Iterable[Mapping[str, object]], schema: str) -> DataFrame:
+    """A small table of facts known to the program (rules, contracts, policy).
+
+    It is one literal inside the plan, so Spark knows how small it is and joins it
+    without an exchange.
+    """
+    entries = F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(entries))

@@ -81,15 +81,6 @@ def ingest(zones: Zones, dataset: str, folder: str, *, partition_by: Sequence[st
     return zones.write(dataset, read_extracts(zones.spark, folder), partition_by=partition_by)
 
 
-def ingest_bronze(zones: Zones, landing: str) -> dict[str, int]:
-    """Every declared source entity found in the landing folder."""
-    return {
-        f"bronze.{source}_{entity}": ingest(zones, f"bronze.{source}_{entity}", f"{landing}/{source}/{entity}")
-        for source, entities in SOURCES.items()
-        for entity in entities
-    }
-
-
 def ingest_labels(zones: Zones, landing: str) -> int:
     """Confirmed labels go to ``ops`` only; no product or metric query can name that table."""
     folder = f"{landing}/_holdout/fraud_labels"

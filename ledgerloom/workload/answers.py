@@ -248,8 +248,7 @@ def _(t):
             SELECT transaction_id, 'GEO_JUMP' AS fraud_method FROM (
                 SELECT *, lag(abroad) OVER w AS before, epoch_us(transaction_ts) - epoch_us(lag(transaction_ts) OVER w)
                           AS gap
-                FROM (SELECT *, coalesce(is_international, FALSE) AND merchant_category = 'purchase'
-                             OR merchant_category IN ('signup', 'purchase') AS abroad FROM card_transactions)
+                FROM (SELECT *, merchant_category IN ('signup', 'purchase') AS abroad FROM card_transactions)
                 WINDOW w AS (PARTITION BY card_id ORDER BY transaction_ts, transaction_id))
             WHERE abroad AND NOT before AND gap <= 86400 * 1000000::BIGINT),
         matched AS (

@@ -101,31 +101,42 @@ class Tables:
             "_batch_id",
         )
 
-    @cached_property
-    def order_months(self) -> DataFrame:
-        """Line items per order and shipping month, with the order beside them."""
-        sites = self["supplier"].join(self.places, F.col("s_nationkey") == F.col("n_nationkey")).select(
-            "s_suppkey", F.col("r_name").alias("site_region")
-        )
-        lines = self["lineitem"].join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
+    def _months(self, lines: DataFrame) -> DataFrame:
+        """Line items per order and shipping month, with the order's own columns.
+
+        Joined before it is grouped: the exchange on the order key serves both. Flags are
+        folded as codes and booleans, which keeps the aggregate hash-based.
+        """
         price = F.col("l_extendedprice")
-        monthly = lines.groupBy("l_orderkey", month_id("l_shipdate").alias("_batch_id")).agg(
-            F.max("l_suppkey").alias("suppkey"),
-            F.max(F.when(F.col("l_discount") > 0, F.col("site_region"))).alias("branch_region"),
-            F.max("l_linestatus").alias("linestatus"),
-            F.max("l_returnflag").alias("returnflag"),
-            F.max("l_discount").alias("discount"),
-            F.max("l_linenumber").alias("linenumber"),
-            F.max("l_shipdate").alias("shipdate"),
-            F.sum("l_quantity").alias("quantity"),
-            F.sum(price).alias("price"),
-            F.sum(F.when(F.col("l_returnflag") == "R", -price).otherwise(price)).alias("net"),
+        orders = self["orders"].select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+        extra = {"site_regionkey": F.max(F.when(F.col("l_discount") > 0, F.col("site_regionkey")))}
+        measures = {
+            "suppkey": F.max("l_suppkey"),
+            "all_closed": F.bool_and(F.col("l_linestatus") == "F"),
+            "returnflag": F.max(F.ascii("l_returnflag")),
+            "discount": F.max("l_discount"),
+            "linenumber": F.max("l_linenumber"),
+            "shipdate": F.max("l_shipdate"),
+            "quantity": F.sum("l_quantity"),
+            "price": F.sum(price),
+            "net": F.sum(F.when(F.col("l_returnflag") == "R", -price).otherwise(price)),
+            **(extra if "site_regionkey" in lines.columns else {}),
+        }
+        return (
+            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy(*orders.columns, month_id("l_shipdate").alias("_batch_id"))
+            .agg(*[column.alias(name) for name, column in measures.items()])
+            .withColumn("returnflag", F.char("returnflag"))
         )
-        return monthly.join(self["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return self.order_months.select(
+        sites = self["supplier"].join(self["nation"], F.col("s_nationkey") == F.col("n_nationkey")).select(
+            "s_suppkey", F.col("n_regionkey").alias("site_regionkey")
+        )
+        monthly = self._months(self["lineitem"].join(sites, F.col("l_suppkey") == F.col("s_suppkey")))
+        regions = self["region"].select(F.col("r_regionkey").alias("site_regionkey"), F.col("r_name").alias("branch_region"))
+        return monthly.join(regions, "site_regionkey", "left").select(
             coded("A", "o_orderkey").alias("account_id"),
             coded("C", "o_custkey").alias("customer_id"),
             mapped("o_orderpriority", ACCOUNT_TYPES).alias("account_type"),
@@ -133,7 +144,7 @@ class Tables:
             "branch_region",
             F.lit("INR").alias("currency"),
             F.to_date("o_orderdate").alias("open_date"),
-            F.when(F.col("linestatus") == "O", "ACTIVE").otherwise("DORMANT").alias("status"),
+            F.when(F.col("all_closed"), "DORMANT").otherwise("ACTIVE").alias("status"),
             F.round("net", 2).alias("balance"),
             (F.col("quantity") * 100).alias("overdraft_limit"),
             F.col("discount").alias("interest_rate"),
@@ -143,7 +154,7 @@ class Tables:
     @cached_property
     def loans(self) -> DataFrame:
         lateness = F.greatest(F.lit(0), F.date_diff("shipdate", "o_orderdate")) % 121
-        base = self.order_months.withColumns(
+        base = self._months(self["lineitem"]).withColumns(
             {
                 "interest_rate": F.round(F.col("discount") * 100, 2),
                 "tenor_months": (F.col("linenumber") + 1).cast("long") * 12,
@@ -160,7 +171,7 @@ class Tables:
             F.to_date("o_orderdate").alias("disbursed_date"),
             F.round(F.greatest(F.lit(0.0), F.col("o_totalprice") - F.col("price")), 2).alias("outstanding_principal"),
             lateness.cast("long").alias("dpd"),
-            F.when(F.col("linestatus") == "F", "CLOSED").otherwise("ACTIVE").alias("status"),
+            F.when(F.col("all_closed"), "CLOSED").otherwise("ACTIVE").alias("status"),
             F.col("returnflag").alias("collateral_type"),
             F.round("price", 2).alias("collateral_value"),
             "_batch_id",

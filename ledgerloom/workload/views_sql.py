@@ -43,7 +43,7 @@ VIEWS: dict[str, str] = {
         JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "order_months": f"""
         SELECT l_orderkey, strftime(l_shipdate, {MONTH}) AS _batch_id, max(l_suppkey) AS suppkey,
-               max(r_name) FILTER (l_discount > 0) AS branch_region, max(l_linestatus) AS linestatus,
+               arg_max(r_name, r_regionkey) FILTER (l_discount > 0) AS branch_region, max(l_linestatus) AS linestatus,
                max(l_returnflag) AS returnflag, max(l_discount) AS discount, max(l_linenumber) AS linenumber,
                max(l_shipdate) AS shipdate, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price,
                sum(CASE l_returnflag WHEN 'R' THEN -l_extendedprice ELSE l_extendedprice END) AS net,
@@ -67,10 +67,11 @@ VIEWS: dict[str, str] = {
         SELECT 'L' || o_orderkey AS loan_id, 'C' || o_custkey AS customer_id,
                {case("o_orderpriority", t.LOAN_PRODUCTS)} AS product, o_totalprice AS principal, interest_rate,
                tenor_months,
-               round(CASE WHEN interest_rate > 0
+               -- a tie is rounded away from zero on the decimal value, not on its binary neighbour
+               CAST(round(CAST(CASE WHEN interest_rate > 0
                      THEN o_totalprice * (interest_rate / 12.0 / 100.0)
                           / (1.0 - pow(interest_rate / 12.0 / 100.0 + 1.0, -tenor_months))
-                     ELSE o_totalprice / tenor_months END, 2) AS emi_amount,
+                     ELSE o_totalprice / tenor_months END AS DECIMAL(28, 10)), 2) AS DOUBLE) AS emi_amount,
                CAST(o_orderdate AS DATE) AS disbursed_date,
                round(greatest(0.0, o_totalprice - price), 2) AS outstanding_principal,
                greatest(0, date_diff('day', o_orderdate, shipdate)) % 121 AS dpd,
