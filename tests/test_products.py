@@ -1,6 +1,7 @@
 from datetime import date, datetime, timedelta
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from ledgerloom.context import RunContext
 from ledgerloom.operators import products
@@ -117,6 +118,6 @@ def test_options_for_open_loans_and_card_debits(spark):
     book = loans(spark, ("L1", "C1", "1", "HOME", "CLOSED", 0, 1.0, 1.0), ("L2", "C1", "1", "HOME", "ACTIVE", 0, 1.0, 2.0))
     assert products.loan_totals(book).first()["loan_count"] == 2
     assert products.loan_totals(book, open_only=True).first()["loan_outstanding"] == 2.0
-    facts = transactions(spark, ("T1", "C1", AS_OF, "CARD", 5.0)).withColumn("debit_credit", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("CREDIT"))
+    facts = transactions(spark, ("T1", "C1", AS_OF, "CARD", 5.0)).withColumn("debit_credit", F.lit("CREDIT"))
     assert products.trailing_activity(facts, CTX).first()["card_spend_90d"] == 5.0
     assert products.trailing_activity(facts, CTX, debits_only=True).first()["card_spend_90d"] == 0.0
