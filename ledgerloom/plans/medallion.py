@@ -159,3 +159,26 @@ def record_runs(zones: Zones, ctx: RunContext, counts: Mapping[str, int]) -> int
     rows = [(ctx.job_run_id, name.split(".")[0], name, rows) for name, rows in counts.items()]
     frame = zones.spark.createDataFrame(rows, "job_run_id string, stage string, dataset string, row_count bigint")
     return zones.write("ops.pipeline_runs", ctx.stamped(frame, "run_ts"))
+
+
+STAGES = ("bronze", "silver", "gold", "publish")
+
+
+def run(
+    zones: Zones, ctx: RunContext, landing: str, stages: Sequence[str] = STAGES, *, enforce: bool = True
+) -> dict[str, int]:
+    """The requested stages in their order; missing bronze tables are ingested first."""
+    unknown = sorted(set(stages) - set(STAGES))
+    if unknown:
+        raise ValueError(f"unknown stage(s): {', '.join(unknown)}; valid: {', '.join(STAGES)}")
+    counts: dict[str, int] = {}
+    if "bronze" in stages or not zones.exists(CRM):
+        counts |= ingest_bronze(zones, landing)
+    if "silver" in stages:
+        counts |= build_silver(zones, ctx)
+    if "gold" in stages:
+        counts |= build_gold(zones, ctx, landing)
+    if "publish" in stages:
+        counts |= publish_all(zones, ctx, enforce=enforce)
+    record_runs(zones, ctx, counts)
+    return counts

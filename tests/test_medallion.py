@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
+from ledgerloom import api
 from ledgerloom.operators import quality
 from ledgerloom.plans import catalog, medallion, publish
 from ledgerloom.plans.rules import PUBLISHED_RULES
@@ -20,14 +21,16 @@ def lake(spark):
     root = scratch_path(spark, "medallion-test")
     land_extracts(tables, f"{root}/landing")
     zones = Zones(spark, f"{root}/lake")
-    counts = medallion.ingest_bronze(zones, f"{root}/landing")
-    counts |= medallion.build_silver(zones, tables.ctx)
-    counts |= medallion.build_gold(zones, tables.ctx, f"{root}/landing")
-    counts |= medallion.publish_all(zones, tables.ctx, enforce=False)
-    medallion.record_runs(zones, tables.ctx, counts)
+    counts = medallion.run(zones, tables.ctx, f"{root}/landing", enforce=False)
     return zones, tables, counts
 
 
+def test_stage_names_are_checked(lake):
+    zones, tables, _ = lake
+    with pytest.raises(ValueError, match="platinum"):
+        medallion.run(zones, tables.ctx, "", ["silver", "platinum"])
+
+
 def test_every_table_is_written_and_recorded(lake):
     zones, _, counts = lake
     assert len(zones.tables("bronze")) == 9 and len(zones.tables("silver")) == 7
@@ -88,6 +91,15 @@ def test_a_critical_failure_stops_publication(lake):
         medallion.publish_all(zones, tables.ctx)
 
 
+def test_readers_api(lake):
+    zones, _, _ = lake
+    assert api.sla(zones, "transaction").first()["sla_freshness_hours"] == 1
+    assert api.lineage_of(zones, "customer_360").count() > 10
+    assert ("bronze.s_bureau_credit_records",) in rows(api.upstream_sources(zones, "credit_risk"))
+    answer = api.ask(zones, api.MetricRequest("credit_risk", ["default_rate"]))
+    assert 0 <= answer.first()["default_rate"] <= 1
+
+
 def test_two_builds_are_equal(lake):
     zones, tables, _ = lake
     again = Zones(zones.spark, scratch_path(zones.spark, "medallion-again"))
