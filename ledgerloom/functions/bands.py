@@ -99,12 +99,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def emi(principal: Column, annual_rate_pct: Column, months: Column) -> Column:
-    """Equal monthly instalment of an amortising loan, rounded to the cent."""
+    """Equal monthly instalment of an amortising loan, rounded to the cent.
+
+    Half a cent is common here (a price over a number of months) and a quotient can lie
+    just beside it in binary, so the tie is decided on the decimal value.
+    """
     rate = annual_rate_pct / 12.0 / 100.0
     growth = F.pow(rate + 1.0, -months)
-    return F.round(
-        F.when(rate > 0, principal * rate / F.nullif(1.0 - growth, F.lit(0.0))).otherwise(principal / months), 2
-    )
+    exact = F.when(rate > 0, principal * rate / F.nullif(1.0 - growth, F.lit(0.0))).otherwise(principal / months)
+    return F.round(exact.cast("decimal(28,10)"), 2).cast("double")
 
 
 def signed(amount: Column, direction: Column) -> Column:
