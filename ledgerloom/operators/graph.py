@@ -40,7 +40,8 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
     Breadth first by joins: the nodes first met in the last round meet the edge table,
     what they reach is kept, and the nodes not seen before form the next round. A node
     is expanded once, so cycles and diamonds end. Each round is written to the durable
-    checkpoint folder: the plan stays one join deep and a lost executor costs one round.
+    checkpoint folder: a round only reads earlier rounds from there, and a lost executor
+    costs one round.
     """
     near, far = _sides(direction)
     hops = edges.select(
@@ -57,12 +58,11 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
             )
         )
         found = reached if found is None else found.unionByName(reached)
-        frontier = materialise(
-            reached.select(F.col("dataset").alias("node")).distinct().join(seen, "node", "left_anti")
-        )
-        if frontier.isEmpty():
+        if reached.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        nodes = reached.select(F.col("dataset").alias("node")).distinct()
+        frontier = nodes.join(seen, "node", "left_anti")
+        seen = seen.unionByName(nodes)
     return found
 
 
