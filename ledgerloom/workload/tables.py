@@ -125,9 +125,9 @@ class Tables:
         }
         return (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(*orders.columns, month_id("l_shipdate").alias("_batch_id"))
+            .groupBy(*orders.columns, F.trunc("l_shipdate", "MM").alias("month"))
             .agg(*[column.alias(name) for name, column in measures.items()])
-            .withColumn("returnflag", F.char("returnflag"))
+            .withColumns({"returnflag": F.char("returnflag"), "_batch_id": F.col("month").cast("string")})
         )
 
     @cached_property
