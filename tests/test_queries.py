@@ -5,9 +5,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from ledgerloom.workload import all_oracles, all_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 #: Without a twin: hashes differ between engines, and prose for readers.
 ROWS_ONLY = {"table_fingerprint", "use_policy_reasons"}
 
