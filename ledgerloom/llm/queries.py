@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import compression_bands, edit_contamination, mixing, simhash_ring, token_files
+from ledgerloom.llm import compression_bands, edit_contamination, mixing, simhash_ring, super_kmers, token_files
 from ledgerloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,22 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_token_files")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.write_tokens(table(spark, folder, "documents"), vocabulary()).documents()
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM x),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN f USING (h) WHERE first < doc_id),
+a AS (SELECT doc_id, unnest(w) AS e, generate_subscripts(w, 1) AS p FROM d),
+r AS (SELECT doc_id, string_agg(e, ' ' ORDER BY p) AS kept FROM a ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op9_super_kmers", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return super_kmers.remove_repeats(table(spark, folder, "documents"))
