@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import compression_bands, edit_contamination, mixing, simhash_ring, super_kmers, token_files
+from ledgerloom.llm import compression_bands, edit_contamination, mixing, simhash_ring, super_kmers, token_files, trigram_secrets
 from ledgerloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,33 @@ FROM d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
 @query("op9_super_kmers", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return super_kmers.remove_repeats(table(spark, folder, "documents"))
+
+
+def _secret_sql() -> str:
+    """Spans in SQL: between the matches of a pattern lie the pieces of a split by it."""
+    parts = []
+    for place, rule in enumerate(trigram_secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, s, s + length(m) AS e FROM (
+    SELECT doc_id, m, g, sum(length(p) + coalesce(length(q), 0)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS s FROM (
+      SELECT doc_id, m, g, p, i, lag(m) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM (
+        SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}', 0)) AS m, unnest(regexp_extract_all(t, '{pattern}', {rule.group})) AS g,
+               unnest(string_split_regex(t, '{pattern}')) AS p, generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i
+        FROM d WHERE regexp_matches(t, '{pattern}'))))
+  WHERE m IS NOT NULL AND length(g) >= {rule.least}""")
+    base = [rule.kind for rule in trigram_secrets.RULES if rule.base]
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in base)
+    named = ", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in base)
+    spell = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({" UNION ALL ".join(parts)}),
+y AS (SELECT doc_id, {counts}, {spell} FILTER (place < {len(base)}) AS base, {spell} AS spans FROM x GROUP BY doc_id)
+SELECT d.doc_id, {named}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN y USING (doc_id)
+"""
+
+
+@query("op10_trigram_secrets", _secret_sql())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return trigram_secrets.secrets(table(spark, folder, "documents"))
