@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import compression_bands, edit_contamination, mixing, simhash_ring, super_kmers, token_files, trigram_secrets
+from ledgerloom.llm import compression_bands, edit_contamination, ftrl_quality, kneser_ney, mixing, simhash_ring, super_kmers, token_files, trigram_secrets
 from ledgerloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,16 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_ftrl_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return ftrl_quality.predict_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_kneser_ney")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.predict_languages(table(spark, folder, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
