@@ -88,7 +88,7 @@ class SharedFile:
         self.fs, root = filesystem(folder)
         self.fs.create_dir(root, recursive=True)
         self.path, self.part = f"{root}/{name}", f"{root}/.{name}-{uuid.uuid4().hex}"
-        self.stream = self.fs.open_output_stream(self.part)
+        self.stream = self.fs.open_output_stream(self.part, compression=None)
 
     def write(self, data: bytes) -> None:
         self.stream.write(data)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import compression_bands, edit_contamination, ftrl_quality, kneser_ney, mixing, simhash_ring, super_kmers, token_files, trigram_secrets
+from ledgerloom.llm import arc_convert, compression_bands, edit_contamination, ftrl_quality, kneser_ney, mixing, simhash_ring, super_kmers, token_files, trigram_secrets
 from ledgerloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,20 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return ftrl_quality.predict_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS lead FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN lead <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN lead <> page_id THEN lead END AS refers_to
+FROM m
+"""
+
+
+@query("op5_arc_convert", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return arc_convert.archive_pages(table(spark, folder, "pages"))
+
+
 @query("op6_kneser_ney")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.predict_languages(table(spark, folder, "documents"))
