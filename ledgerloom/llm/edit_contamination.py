@@ -53,7 +53,7 @@ def myers(item: str, text: str, budget: int) -> tuple[int, int] | None:
     for i, c in enumerate(item):
         peq[c] |= 1 << i
     full, top = (1 << size) - 1, 1 << (size - 1)
-    plus, minus, score, best = full, 0, size, (size + 1, 0)
+    plus, minus, score, best = full, 0, size, (size, 0)
     for at, c in enumerate(text):
         equal = peq.get(c, 0)
         vertical = equal | minus
