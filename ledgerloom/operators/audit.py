@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.snapshots import latest_per_key
 
-# Retention and size limits of one record.
-MAX_PAYLOAD_BYTES = 400_000
+# How long a record is kept.
 RETENTION_DAYS = 400
-QUESTION_CHARS = 500
 INDEXED = ("outcome", "agent", "engine", "provider", "model_id", "refused")
 BULKY = ("preview", "trace")
 
@@ -22,16 +20,20 @@ def _payload(columns: list[str], *, trimmed: bool) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def answer_records(answers: DataFrame, *, ttl_days: int = RETENTION_DAYS) -> DataFrame:
+def answer_records(
+    answers: DataFrame, *, ttl_days: int = RETENTION_DAYS, max_payload_bytes: int | None = None
+) -> DataFrame:
     """Answers shaped for retention: JSON payload, indexed fields, expiry.
 
-    An oversized payload loses its bulky parts rather than the record. ``asked_at`` is
-    taken from the answer, so the same input always gives the same record.
+    Payload and question are kept whole. A caller whose store limits the size of a record
+    names that limit; a larger payload then loses its bulky parts rather than the record,
+    and ``trimmed`` says so. ``asked_at`` is taken from the answer, so the same input
+    always gives the same record.
     """
     full = _payload(answers.columns, trimmed=False)
-    oversized = F.octet_length("__full") > MAX_PAYLOAD_BYTES
+    oversized = F.lit(False) if max_payload_bytes is None else F.octet_length("__full") > max_payload_bytes
     expiry = F.unix_seconds(F.col("asked_at").cast("timestamp")) + ttl_days * 86_400
-    question = [F.left("question", F.lit(QUESTION_CHARS)).alias("question")] if "question" in answers.columns else []
+    question = ["question"] if "question" in answers.columns else []
     return answers.withColumn("__full", full).select(
         "trace_id",
         F.col("asked_at").cast("string").alias("asked_at"),

@@ -56,9 +56,23 @@ def _own(df: DataFrame) -> DataFrame:
     return df.filter(F.col("__own")).drop("__us", "__slice", "__own")
 
 
-def _lookback(keys: Sequence[str], seconds: int):
-    """Rows of the key in the closed stretch ``[now - seconds, now]``."""
-    return W.partitionBy(*keys, "__slice").orderBy("__us").rangeBetween(-seconds * SECOND, W.currentRow)
+def _known(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that have the keys: a row without an account is not a row of one shared account."""
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())
+    return df
+
+
+def _count_within(keys: Sequence[str], seconds: int) -> Column:
+    """Rows of the key in the closed stretch ``[now - seconds, now]``.
+
+    A running count minus the running count that ended before the stretch: both frames
+    only grow, so a busy key costs one pass over its slice.
+    """
+    order = W.partitionBy(*keys, "__slice").orderBy("__us")
+    until_now = order.rangeBetween(W.unboundedPreceding, W.currentRow)
+    too_early = order.rangeBetween(W.unboundedPreceding, -seconds * SECOND - 1)
+    return F.count(F.lit(1)).over(until_now) - F.count(F.lit(1)).over(too_early)
 
 
 def _rounded_cents(amount: Column, digits: int) -> Column:
@@ -70,24 +84,33 @@ def _rounded_cents(amount: Column, digits: int) -> Column:
 
 
 def typical_amount(df: DataFrame, key: str, amount: str, *, digits: int = 3, floor: float = TYPICAL_FLOOR) -> DataFrame:
-    """Lower median per key to ``digits`` significant digits, not under ``floor``.
+    """Exact lower median per key in whole cents, not under ``floor``.
 
-    Amounts fall into a bounded number of bins (900 per power of ten for 3 digits), so
-    a key is a short histogram after the map-side count, whatever its number of rows.
+    First the bin that holds the median: amounts cut to ``digits`` significant digits fall
+    into a bounded number of bins (900 per power of ten for 3 digits), so a key is a short
+    histogram after the map-side count, whatever its number of rows. Then the value inside
+    that one bin, which again has a bounded number of different cents.
     """
-    bins = (
-        df.filter(F.col(amount) > 0)
-        .groupBy(key, _rounded_cents(F.col(amount), digits).alias("__bin"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+    cents = F.round(F.col(amount) * 100).cast("long")
+    paid = _known(df.filter(F.col(amount) > 0), key).select(
+        key, cents.alias("__cents"), _rounded_cents(F.col(amount), digits).alias("__bin")
     )
-    by_value = W.partitionBy(key).orderBy("__bin")
-    reached = F.sum("__n").over(by_value.rowsBetween(W.unboundedPreceding, W.currentRow))
+    bins = paid.groupBy(key, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    reached = F.sum("__n").over(W.partitionBy(key).orderBy("__bin").rowsBetween(W.unboundedPreceding, W.currentRow))
     total = F.sum("__n").over(W.partitionBy(key))
+    middle = (
+        bins.withColumn("__before", reached - F.col("__n"))
+        .withColumn("__rank", F.ceil(total / 2) - F.col("__before"))
+        .filter((F.col("__rank") > 0) & (F.col("__rank") <= F.col("__n")))
+        .select(key, "__bin", "__rank")
+    )
+    inside = paid.join(middle, [key, "__bin"]).groupBy(key, "__rank", "__cents").agg(F.count(F.lit(1)).alias("__n"))
+    counted = F.sum("__n").over(W.partitionBy(key).orderBy("__cents").rowsBetween(W.unboundedPreceding, W.currentRow))
     return (
-        bins.withColumn("__half", reached * 2 >= total)
-        .filter(F.col("__half"))
+        inside.withColumn("__reached", counted)
+        .filter(F.col("__reached") >= F.col("__rank"))
         .groupBy(key)
-        .agg(F.greatest(F.min("__bin") / 100.0, F.lit(floor)).alias("typical"))
+        .agg(F.greatest(F.min("__cents") / 100.0, F.lit(floor)).alias("typical"))
     )
 
 
@@ -109,8 +132,8 @@ def card_bursts(
 ) -> DataFrame:
     """Large debits in quick succession on one card and device; adds ``burst_size``."""
     large = with_typical(txns, customer, amount, floor=floor).filter(F.col(amount) >= factor * F.col("typical"))
-    sliced = time_slices(large, ts, seconds)
-    sized = sliced.withColumn("burst_size", F.count(F.lit(1)).over(_lookback(keys, seconds)))
+    sliced = time_slices(_known(large, *keys), ts, seconds)
+    sized = sliced.withColumn("burst_size", _count_within(keys, seconds))
     return _own(sized.filter(F.col("burst_size") >= count))
 
 
@@ -124,7 +147,7 @@ def geo_jumps(
     seconds: int = JUMP_SECONDS,
 ) -> DataFrame:
     """An international charge soon after a domestic one on the same card; adds the gap."""
-    sliced = time_slices(txns, ts, seconds)
+    sliced = time_slices(_known(txns, key), ts, seconds)
     before = W.partitionBy(key, "__slice").orderBy("__us", *order)
     gap = F.col("__us") - F.lag("__us").over(before)
     jumped = sliced.withColumns({"__came_from_home": ~F.lag(abroad).over(before), "__gap": gap}).filter(
@@ -143,12 +166,13 @@ def _after_probe(
     seconds: int,
 ) -> DataFrame:
     """Strikes preceded by a probe on the same key within ``seconds``; adds the gap."""
-    sliced = time_slices(txns, ts, seconds)
-    earlier = W.partitionBy(key, "__slice").orderBy("__us").rangeBetween(-seconds * SECOND, -1)
+    sliced = time_slices(_known(txns, key), ts, seconds)
+    # The newest of all earlier probes is the newest in the stretch, if any is: a frame that only grows.
+    earlier = W.partitionBy(key, "__slice").orderBy("__us").rangeBetween(W.unboundedPreceding, -1)
     last_probe = F.max(F.when(probe, F.col("__us"))).over(earlier)
     return _own(
         sliced.withColumn("__probe", last_probe)
-        .filter(strike & F.col("__probe").isNotNull())
+        .filter(strike & (F.col("__us") - F.col("__probe") <= seconds * SECOND))
         .withColumn("gap_seconds", F.expr(f"(__us - __probe) div {SECOND}L"))
         .drop("__probe")
     )
@@ -222,7 +246,7 @@ def collusion_rings(
     counts from its charge until the look-back ends or it charges again, so the number is
     a running sum of +1 and -1: constant state, no set of cards and no pairs of rows.
     """
-    sliced = time_slices(txns, ts, seconds)
+    sliced = time_slices(_known(txns, merchant, amount, card), ts, seconds)
     again = F.lead("__us").over(W.partitionBy(merchant, amount, "__slice", card).orderBy("__us", *order))
     leaves = F.least(F.col("__us") + F.lit(seconds * SECOND + 1), again)
     steps = sliced.withColumn("__leaves", leaves).withColumn(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialise
 
-MAX_DEPTH = 8
+#: A frontier of at most this many nodes is sent to all tasks; a larger one is joined by a shuffle.
+SMALL_FRONTIER = 50_000
 
 
 def _sides(direction: str) -> tuple[str, str]:
@@ -34,14 +35,16 @@ def downstream_of(edges: DataFrame, dataset: str) -> DataFrame:
     )
 
 
-def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: int = MAX_DEPTH) -> DataFrame:
+def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: int | None = None) -> DataFrame:
     """Every edge reachable from ``dataset``, with the level it is crossed at.
 
-    Breadth first by joins: the nodes first met in the last round meet the edge table,
-    what they reach is kept, and the nodes not seen before form the next round. A node
-    is expanded once, so cycles and diamonds end. Each round is written to the durable
+    Breadth first by joins until nothing new is reached (or down to ``depth`` levels, if a
+    caller asks for that): the nodes first met in the last round meet the edge table, what
+    they reach is kept, and the nodes not seen before form the next round. A node is
+    expanded once, so cycles and diamonds end. Each round is written to the durable
     checkpoint folder: a round only reads earlier rounds from there, and a lost executor
-    costs one round.
+    costs one round. While the frontier is small it is broadcast, so a round is a filter
+    over the edges without moving them; repeated edges are collapsed after that filter.
     """
     near, far = _sides(direction)
     hops = edges.select(
@@ -49,20 +52,21 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
     )
     spark = edges.sparkSession
     frontier = spark.range(1).select(F.lit(dataset).alias("node"))
-    seen = frontier
-    found = None
-    for level in range(1, depth + 1):
+    seen, size, level, found = frontier, 1, 0, None
+    while found is None or (size and (depth is None or level < depth)):
+        level += 1
+        near_nodes = F.broadcast(frontier) if size <= SMALL_FRONTIER else frontier
         reached = materialise(
-            hops.join(frontier, "node").select(
-                "dataset", "transform_id", F.lit(direction).alias("direction"), F.lit(level).alias("level")
-            )
+            hops.join(near_nodes, "node")
+            .select("dataset", "transform_id")
+            .distinct()
+            .select("dataset", "transform_id", F.lit(direction).alias("direction"), F.lit(level).alias("level"))
         )
         found = reached if found is None else found.unionByName(reached)
-        if reached.isEmpty():
-            break
         nodes = reached.select(F.col("dataset").alias("node")).distinct()
-        frontier = nodes.join(seen, "node", "left_anti")
-        seen = seen.unionByName(nodes)
+        frontier = materialise(nodes.join(seen, "node", "left_anti"))
+        seen = seen.unionByName(frontier)
+        size = frontier.count()
     return found
 
 

@@ -135,10 +135,12 @@ def customer_360(
 def transaction_product(transactions: DataFrame, labels: DataFrame, ctx: RunContext) -> DataFrame:
     """The transaction fact with labels shown only once they are known.
 
-    Labels are filtered to those available at the anchor before the join; the flag is
-    TRUE (confirmed), FALSE (dispute window closed) or NULL (still open).
+    Labels are filtered to those available at the anchor, and of a label delivered more
+    than once the newest is taken, before the join; the flag is TRUE (confirmed), FALSE
+    (dispute window closed) or NULL (still open).
     """
-    known = labels.filter(F.col("label_available_date").cast("date") <= ctx.day).select(
+    available = labels.filter(F.col("label_available_date").cast("date") <= ctx.day)
+    known = latest_per_key(available, ["transaction_id"], ["label_available_date", "fraud_method"]).select(
         "transaction_id", F.col("fraud_method").alias("confirmed_fraud_method"), F.lit(True).alias("__confirmed")
     )
     confirmed = F.col("__confirmed").isNotNull()

@@ -17,7 +17,6 @@ EXACT, SYNONYM, PHRASE, NAME_TOKEN = 1.0, 0.95, 0.85, 0.6
 OVERLAP_WEIGHT, TOKEN_WEIGHT, TOKEN_CAP = 0.45, 0.1, 0.3
 MIN_MATCH_SCORE = 0.45
 AMBIGUITY_MARGIN = 0.12
-MAX_CANDIDATES = 5
 
 
 def rank_documents(documents: DataFrame, key: str, body: Column, name: Column, query: str) -> DataFrame:
@@ -27,7 +26,7 @@ def rank_documents(documents: DataFrame, key: str, body: Column, name: Column, q
     holds one. The query's words are a literal, so scoring is one narrow projection
     over the scan: no explode, no join, no shuffle before the final order.
     """
-    words = text.search_words(query)
+    words = text.query_words(documents.sparkSession, query)
     needle = text.word_array(words)
     matched = F.array_sort(F.array_intersect(text.search_tokens(body), needle))
     named = F.arrays_overlap(text.search_tokens(name), needle)
@@ -46,7 +45,7 @@ def rank_documents(documents: DataFrame, key: str, body: Column, name: Column, q
     )
 
 
-def search_products(spark: SparkSession, query: str, limit: int = 5) -> DataFrame:
+def search_products(spark: SparkSession, query: str, limit: int | None = None) -> DataFrame:
     """The catalogue ranked for a question: best score first, ties by name."""
     rows = [
         {
@@ -62,7 +61,8 @@ def search_products(spark: SparkSession, query: str, limit: int = 5) -> DataFram
     ]
     entries = fixed_rows(spark, rows, "product: string, body: string")
     ranked = rank_documents(entries, "product", F.col("body"), F.col("product"), query)
-    return ranked.orderBy(F.col("score").desc(), "product").limit(limit)
+    ordered = ranked.orderBy(F.col("score").desc(), "product")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _registry(metrics: Sequence[Metric]) -> Column:
@@ -111,8 +111,7 @@ def resolve_terms(terms: DataFrame, term: str, *, product: str | None = None) ->
             (-_score(needle, words, e)).alias("rank"), e["metric"].alias("metric"), e["ref"].alias("ref")
         ),
     )
-    ranked = F.array_sort(F.filter(scored, lambda c: c["rank"] <= -MIN_MATCH_SCORE))
-    best = F.slice(ranked, 1, MAX_CANDIDATES)
+    best = F.array_sort(F.filter(scored, lambda c: c["rank"] <= -MIN_MATCH_SCORE))
     top = F.col("candidates")
     close = F.get(top, F.lit(1))["rank"] - F.get(top, F.lit(0))["rank"] <= AMBIGUITY_MARGIN
     status = (

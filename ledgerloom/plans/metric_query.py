@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans import catalog
 from ledgerloom.plans.catalog import Contract, Metric
 
-# Row limits of governed answers.
-GROUPED_LIMIT = 100
-SCALAR_LIMIT = 1
+# The usual length of a ranking, and the most rows that a ranking or a preview may ask for.
 RANKING_LIMIT = 10
 MAX_LIMIT = 1000
 PREVIEW_ROWS = 200
@@ -107,7 +105,7 @@ class Filter:
 
 @dataclass(frozen=True)
 class MetricRequest:
-    """What a reader asks for. ``limit=None`` means the default for the shape."""
+    """What a reader asks for. Without a ``limit`` every group is returned; a limit makes it a ranking."""
 
     product: str
     metrics: Sequence[str]
@@ -130,7 +128,7 @@ class MetricPlan:
     aggregates: tuple[tuple[str, Metric], ...]
     predicate: Column | None
     descending: bool
-    limit: int
+    limit: int | None
     parameters: Mapping[str, object]
     notes: tuple[str, ...]
 
@@ -233,15 +231,15 @@ def plan(request: MetricRequest) -> MetricPlan:
         if metric.name in catalog.CURRENCY_HAZARD:
             notes.append(f"{metric.ref} mixes currencies unless filtered or grouped by currency")
     aggregates = tuple((f"count_{m.name}" if m.name in request.dimensions else m.name, m) for m in metrics)
-    default = GROUPED_LIMIT if request.dimensions else SCALAR_LIMIT
-    wanted = default if request.limit is None else request.limit
+    if request.limit is not None and not 1 <= request.limit <= MAX_LIMIT:
+        raise RequestRefused("LIMIT_OUT_OF_RANGE", f"a ranking has 1 to {MAX_LIMIT} rows, not {request.limit}")
     return MetricPlan(
         contract=contract,
         dimensions=tuple(request.dimensions),
         aggregates=aggregates,
         predicate=_predicate(contract, request, notes),
         descending=request.descending,
-        limit=max(1, min(wanted, MAX_LIMIT)),
+        limit=request.limit,
         parameters=request.parameters,
         notes=tuple(notes),
     )
@@ -254,7 +252,8 @@ def run(planned: MetricPlan, product: DataFrame) -> DataFrame:
     lead = F.col(planned.aggregates[0][0])
     order = [lead.desc_nulls_last() if planned.descending else lead.asc_nulls_last()]
     order += [F.col(d).asc_nulls_last() for d in planned.dimensions]
-    return rows.groupBy(*planned.dimensions).agg(*columns).orderBy(*order).limit(planned.limit)
+    ranked = rows.groupBy(*planned.dimensions).agg(*columns).orderBy(*order)
+    return ranked if planned.limit is None else ranked.limit(planned.limit)
 
 
 def metric_query(request: MetricRequest, product: DataFrame) -> DataFrame:
@@ -270,6 +269,8 @@ class Preview:
 
 def preview(result: DataFrame, limit: int = PREVIEW_ROWS) -> Preview:
     """At most ``limit`` rows for a reader; one more is fetched to know if any are left."""
-    size = max(1, min(limit, MAX_LIMIT))
+    if not 1 <= limit <= MAX_LIMIT:
+        raise RequestRefused("LIMIT_OUT_OF_RANGE", f"a preview has 1 to {MAX_LIMIT} rows, not {limit}")
+    size = limit
     rows = [r.asDict(recursive=True) for r in result.limit(size + 1).collect()]
     return Preview(rows[:size], min(len(rows), size), len(rows) > size)

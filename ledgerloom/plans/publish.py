@@ -13,8 +13,6 @@ from ledgerloom.context import RunContext
 from ledgerloom.plans import catalog
 from ledgerloom.session import fixed_rows
 
-SUMMARY_FAILURES = 20
-
 
 # -- SLA ---------------------------------------------------------------------
 def product_state(product: str, df: DataFrame, sla_hours: int) -> DataFrame:
@@ -129,14 +127,13 @@ def quality_summary(results: DataFrame, product: str | None = None) -> DataFrame
     )
 
 
-def quality_failures(results: DataFrame, product: str | None = None, limit: int = SUMMARY_FAILURES) -> DataFrame:
-    """The failures listed beside a summary (a report of at most ``limit`` rows)."""
+def quality_failures(results: DataFrame, product: str | None = None) -> DataFrame:
+    """All failures listed beside a summary."""
     scoped = results if product is None else quality_of(results, product)
     return (
         scoped.filter(F.col("status") != "PASS")
         .select("dataset", "rule_id", "severity", "status", "rule_text", "detail")
         .orderBy("dataset", "rule_id")
-        .limit(limit)
     )
 
 

@@ -41,7 +41,8 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
 def durable_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a unit test) gets a folder of its own.
+    Only a local session (a unit test) may name none; it gets a folder of its own. On a
+    cluster such a folder would be another one on every machine, so it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -51,6 +52,8 @@ def durable_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(own)
     return own

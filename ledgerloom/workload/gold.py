@@ -121,7 +121,7 @@ def _(t):
     "balance_by_region",
     """SELECT r_name AS region, count(*) AS customers, sum(CAST(c_acctbal AS DECIMAL(18, 2)))::DOUBLE AS total_balance
        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-       GROUP BY 1 ORDER BY customers DESC, region LIMIT 100""",
+       GROUP BY 1 ORDER BY customers DESC, region""",
 )
 def _(t):
     people = t["customer"].join(t.places, F.col("c_nationkey") == F.col("n_nationkey"))

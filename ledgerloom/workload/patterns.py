@@ -17,10 +17,9 @@ HOUR = 3_600
 
 # -- detectors ------------------------------------------------------------------
 def _median_sql(source: str, key: str, amount: str, floor: float) -> str:
-    """Lower median per key, amounts cut to three significant digits."""
+    """Lower median per key in whole cents."""
     cents = f"CAST(round({amount} * 100) AS BIGINT)"
-    step = f"CAST(10 ** greatest(length(CAST({cents} AS VARCHAR)) - 3, 0) AS BIGINT)"
-    return f"""SELECT {key}, greatest(quantile_disc(({cents} // {step}) * {step}, 0.5) / 100.0, {floor}) AS typical
+    return f"""SELECT {key}, greatest(quantile_disc({cents}, 0.5) / 100.0, {floor}) AS typical
                FROM {source} WHERE {amount} > 0 GROUP BY {key}"""
 
 

@@ -33,13 +33,13 @@ def metric(name: str, sql: str, request: MetricRequest, rounded: tuple[str, ...]
 
 metric(
     "metric_count_by_dim",
-    "SELECT region, count(*) AS customer_count FROM customer_360 GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST LIMIT 100",
+    "SELECT region, count(*) AS customer_count FROM customer_360 GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST",
     MetricRequest("customer_360", ["customer_count"], ["region"]),
 )
 metric(
     "metric_sum_by_dim",
     """SELECT customer_segment, round(sum(total_balance), 2) AS total_balance FROM customer_360 GROUP BY 1
-       ORDER BY 2 DESC, 1 LIMIT 100""",
+       ORDER BY 2 DESC, 1""",
     MetricRequest("customer_360", ["total_balance"], ["customer_segment"]),
     ("total_balance",), 2,
 )
@@ -49,7 +49,7 @@ metric(
               sum(active_accounts)::BIGINT AS active_accounts, round(sum(total_deposits), 2) AS total_deposits,
               round(sum(loan_outstanding), 2) AS loan_outstanding, round(sum(card_spend_90d), 2) AS card_spend_90d,
               sum(txn_count_90d)::BIGINT AS txn_count_90d
-       FROM customer_360 GROUP BY 1, 2 ORDER BY account_count DESC, 1 NULLS LAST, 2 LIMIT 100""",
+       FROM customer_360 GROUP BY 1, 2 ORDER BY account_count DESC, 1 NULLS LAST, 2""",
     MetricRequest(
         "customer_360",
         ["account_count", "active_accounts", "total_deposits", "loan_outstanding", "card_spend_90d", "txn_count_90d"],
@@ -60,14 +60,14 @@ metric(
 metric(
     "metric_avg_by_dim",
     """SELECT region, round(avg(total_balance), 4) AS avg_balance_per_customer, round(avg(credit_score), 4) AS credit_score
-       FROM customer_360 GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST LIMIT 100""",
+       FROM customer_360 GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST""",
     MetricRequest("customer_360", ["avg_balance_per_customer", "credit_score"], ["region"]),
     ("avg_balance_per_customer", "credit_score"),
 )
 metric(
     "metric_max",
     """SELECT region, CAST(max(dpd_max_12m) AS INTEGER) AS dpd_max_12m FROM credit_risk GROUP BY 1
-       ORDER BY 2 DESC, 1 NULLS LAST LIMIT 100""",
+       ORDER BY 2 DESC, 1 NULLS LAST""",
     MetricRequest("credit_risk", ["dpd_max_12m"], ["region"]),
 )
 metric(
@@ -75,7 +75,7 @@ metric(
     """SELECT source_system, round(avg(CASE WHEN is_international THEN 1.0 ELSE 0.0 END), 4) AS international_share,
               round(avg(CASE WHEN debit_credit = 'DEBIT' THEN 1.0 ELSE 0.0 END), 4) AS debit_share
        FROM (SELECT * REPLACE (coalesce(is_international, FALSE) AS is_international) FROM transaction_labelled)
-       GROUP BY 1 ORDER BY avg(CASE WHEN is_international THEN 1.0 ELSE 0.0 END) DESC, 1 LIMIT 100""",
+       GROUP BY 1 ORDER BY avg(CASE WHEN is_international THEN 1.0 ELSE 0.0 END) DESC, 1""",
     MetricRequest("transaction", ["international_share", "debit_share"], ["source_system"]),
     ("international_share", "debit_share"),
 )
@@ -86,7 +86,7 @@ metric(
               round(sum(total_outstanding), 4) AS total_outstanding, round(avg(risk_score), 4) AS risk_score,
               round(avg(CASE WHEN default_history_flag THEN 1.0 ELSE 0.0 END), 4) AS default_rate,
               round(avg(collateral_coverage_ratio), 4) AS collateral_coverage
-       FROM credit_risk GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+       FROM credit_risk GROUP BY 1 ORDER BY 2 DESC, 1""",
     MetricRequest(
         "credit_risk",
         [
@@ -106,7 +106,7 @@ metric(
 metric(
     "metric_threshold_count",
     """SELECT region, count(*) FILTER (total_balance >= 1000000) AS high_value_customer FROM customer_360 GROUP BY 1
-       ORDER BY 2 DESC, 1 NULLS LAST LIMIT 100""",
+       ORDER BY 2 DESC, 1 NULLS LAST""",
     MetricRequest("customer_360", ["high_value_customer"], ["region"], parameters={"threshold": 1_000_000}),
 )
 metric(
@@ -135,13 +135,13 @@ metric(
 metric(
     "metric_enum_filter",
     """SELECT region, count(*) AS customer_count FROM customer_360 WHERE risk_category = 'High' GROUP BY 1
-       ORDER BY 2 DESC, 1 NULLS LAST LIMIT 100""",
+       ORDER BY 2 DESC, 1 NULLS LAST""",
     MetricRequest("customer_360", ["customer_count"], ["region"], [Filter("risk_category", "=", "High")]),
 )
 metric(
     "metric_bool_filter",
     """SELECT channel, count(*) AS txn_count FROM transaction_labelled
-       WHERE fraud_flag AND coalesce(is_international, FALSE) = FALSE GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+       WHERE fraud_flag AND coalesce(is_international, FALSE) = FALSE GROUP BY 1 ORDER BY 2 DESC, 1""",
     MetricRequest(
         "transaction", ["txn_count"], ["channel"],
         [Filter("fraud_flag", "=", True), Filter("is_international", "=", False)],
@@ -151,7 +151,7 @@ metric(
     "metric_numeric_filter",
     """SELECT customer_segment, count(*) AS count_customer_segment, round(avg(credit_score), 4) AS credit_score
        FROM customer_360 WHERE credit_score >= 700 AND total_balance > 100000 AND loan_count <= 20 GROUP BY 1
-       ORDER BY 2 DESC, 1 LIMIT 100""",
+       ORDER BY 2 DESC, 1""",
     MetricRequest(
         "customer_360", ["customer_segment", "credit_score"], ["customer_segment"],
         [Filter("credit_score", ">=", 700), Filter("total_balance", ">", 100_000), Filter("loan_count", "<=", 20)],
@@ -161,7 +161,7 @@ metric(
 metric(
     "metric_geo_filter",
     """SELECT state_code, count(*) AS customer_count, round(sum(total_balance), 2) AS total_balance FROM customer_360
-       WHERE region = 'ASIA' AND city = '1-URGENT' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+       WHERE region = 'ASIA' AND city = '1-URGENT' GROUP BY 1 ORDER BY 2 DESC, 1""",
     MetricRequest(
         "customer_360", ["customer_count", "total_balance"], ["state_code"],
         [Filter("region", "=", "ASIA"), Filter("city", "=", "1-URGENT")],
@@ -196,7 +196,7 @@ for _name, (_window, _start, _end) in WINDOWS.items():
         f"metric_window_{_name}",
         f"""SELECT channel_group, count(*) AS txn_count, round(sum(amount), 2) AS txn_amount_sum
             FROM transaction_labelled WHERE transaction_date >= {_start} AND transaction_date <= {_end} GROUP BY 1
-            ORDER BY 2 DESC, 1 LIMIT 100""",
+            ORDER BY 2 DESC, 1""",
         MetricRequest("transaction", ["txn_count", "txn_amount_sum"], ["channel_group"], window=_window),
         ("txn_amount_sum",), 2,
     )
@@ -205,26 +205,25 @@ metric(
     "metric_by_month",
     f"""SELECT {stamp("transaction_month")} AS transaction_month, count(*) AS txn_count,
                round(sum(signed_amount), 2) AS net_flow
-        FROM transaction_labelled GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+        FROM transaction_labelled GROUP BY 1 ORDER BY 2 DESC, 1""",
     MetricRequest("transaction", ["txn_count", "net_flow"], ["transaction_month"]),
     ("net_flow",), 2,
 )
 metric(
     "metric_by_date",
     f"""SELECT {day("transaction_date")} AS transaction_date, count(*) AS txn_count FROM transaction_labelled
-        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000""",
-    MetricRequest("transaction", ["txn_count"], ["transaction_date"], limit=5000),
+        GROUP BY 1 ORDER BY 2 DESC, 1""",
+    MetricRequest("transaction", ["txn_count"], ["transaction_date"]),
 )
 metric(
     "metric_by_hour",
-    """SELECT transaction_hour, count(*) AS txn_count FROM transaction_labelled GROUP BY 1 ORDER BY 2 DESC, 1
-       LIMIT 100""",
+    """SELECT transaction_hour, count(*) AS txn_count FROM transaction_labelled GROUP BY 1 ORDER BY 2 DESC, 1""",
     MetricRequest("transaction", ["txn_count"], ["transaction_hour"]),
 )
 metric(
     "metric_per_currency",
     """SELECT currency, round(sum(amount), 2) AS txn_amount_sum, round(avg(amount), 2) AS txn_amount_avg
-       FROM transaction_labelled GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+       FROM transaction_labelled GROUP BY 1 ORDER BY 2 DESC, 1""",
     MetricRequest("transaction", ["txn_amount_sum", "txn_amount_avg"], ["currency"]),
     ("txn_amount_sum", "txn_amount_avg"), 2,
 )

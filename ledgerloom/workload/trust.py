@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import SEARCH_STOPWORDS
 from ledgerloom.operators import graph, quality, search
 from ledgerloom.operators.quality import WARNING, Rule
 from ledgerloom.plans import catalog, publish
 from ledgerloom.plans.rules import PUBLISHED_RULES
-from ledgerloom.session import materialise
 from ledgerloom.workload.registry import Published, query
 from ledgerloom.workload.tables import coded
 from ledgerloom.workload.views_sql import AS_OF
@@ -315,7 +315,7 @@ def _(t):
 @query(
     "quality_failures",
     f"""SELECT dataset, rule_id, severity, status FROM ({ALL_RULES_SQL}) WHERE status <> 'PASS'
-        ORDER BY dataset, rule_id LIMIT 20""",
+        ORDER BY dataset, rule_id""",
 )
 def _(t):
     return publish.quality_failures(_published_results(t)).select("dataset", "rule_id", "severity", "status")
@@ -369,16 +369,16 @@ START = "gold.customer_7"
 SUPPLIER = "silver.supplier_1"
 
 
-def _trace_sql(start: str, direction: str, depth: int) -> str:
+def _trace_sql(start: str, direction: str) -> str:
     near, far = ("to_dataset", "from_dataset") if direction == "upstream" else ("from_dataset", "to_dataset")
     return f"""
         WITH RECURSIVE edges AS ({EDGES_SQL}),
         walk(node, level) AS (
             SELECT '{start}', 0
-            UNION SELECT {far}, level + 1 FROM walk JOIN edges ON {near} = node WHERE level < {depth}),
+            UNION SELECT {far}, level + 1 FROM walk JOIN edges ON {near} = node),
         nearest AS (SELECT node, min(level) AS level FROM walk GROUP BY node)
         SELECT {far} AS dataset, transform_id, '{direction}' AS direction, CAST(level + 1 AS INTEGER) AS level
-        FROM nearest JOIN edges ON {near} = node WHERE level < {depth}"""
+        FROM nearest JOIN edges ON {near} = node"""
 
 
 @query("lineage_edges", EDGES_SQL)
@@ -402,22 +402,22 @@ def _(t):
     return graph.downstream_of(entity_edges(t), SUPPLIER)
 
 
-@query("lineage_trace", _trace_sql(START, "upstream", 8))
+@query("lineage_trace", _trace_sql(START, "upstream"))
 def _(t):
-    return graph.trace(materialise(entity_edges(t)), START)
+    return graph.trace(entity_edges(t), START)
 
 
-@query("lineage_trace_downstream", _trace_sql(SUPPLIER, "downstream", 2))
+@query("lineage_trace_downstream", _trace_sql(SUPPLIER, "downstream"))
 def _(t):
-    return graph.trace(materialise(entity_edges(t)), SUPPLIER, "downstream", depth=2)
+    return graph.trace(entity_edges(t), SUPPLIER, "downstream")
 
 
 @query(
     "lineage_roots",
-    f"SELECT DISTINCT dataset FROM ({_trace_sql(START, 'upstream', 8)}) WHERE dataset LIKE 'bronze.%' ORDER BY 1",
+    f"SELECT DISTINCT dataset FROM ({_trace_sql(START, 'upstream')}) WHERE dataset LIKE 'bronze.%' ORDER BY 1",
 )
 def _(t):
-    return graph.roots(graph.trace(materialise(entity_edges(t)), START))
+    return graph.roots(graph.trace(entity_edges(t), START))
 
 
 # -- ranking --------------------------------------------------------------------
@@ -426,10 +426,7 @@ _WORDS = ("en", "heinha", "reuny", "source", "thereon")
 
 
 def _tokens_sql(text: str) -> str:
-    stop = (
-        "'the','a','an','of','for','and','to','in','on','by','with','show','me','what','is','are','how','many',"
-        "'much','give','list','all'"
-    )
+    stop = ", ".join(f"'{word}'" for word in SEARCH_STOPWORDS)
     words = rf"string_split(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
     stem = (
         "CASE WHEN length(w) > 3 AND w LIKE '%ies' THEN left(w, -3) || 'y' "

@@ -85,7 +85,7 @@ def test_tokens_are_singular_distinct_and_without_stop_words(spark):
         spark, ["Show me the Customers and countries; customer class, glass!"], "string", text.search_tokens
     )[0]
     assert sorted(got) == ["class", "country", "customer", "glass"]
-    assert text.search_words("Show me the Customers and countries; customer class, glass!") == sorted(got)
+    assert text.query_words(spark, "Show me the Customers and countries; customer class, glass!") == sorted(got)
 
 
 def test_pseudonyms_are_stable_md5_and_null_for_null(spark):

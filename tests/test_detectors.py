@@ -31,9 +31,29 @@ def ids(df):
     return [r[0] for r in rows(df, "transaction_id")]
 
 
-def test_the_typical_amount_is_a_floored_lower_median_to_three_digits(spark):
+def test_the_typical_amount_is_a_floored_lower_median(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 1234.56, 1239.99, 99999.0)] + [("b", 3.0)], "k string, v double")
-    assert rows(detectors.typical_amount(df, "k", "v", floor=5.0)) == [("a", 1230.0), ("b", 5.0)]
+    assert rows(detectors.typical_amount(df, "k", "v", floor=5.0)) == [("a", 1234.56), ("b", 5.0)]
+    rng = random.Random(8)
+    paid = [(k, round(rng.choice((3.0, 40.0, 4e5)) * rng.random(), 2)) for k in "pq" for _ in range(301)]
+    paid += [("p", 7.77)] * 99 + [(None, 5.0), ("q", -1.0), ("q", None)]
+    found = dict(rows(detectors.typical_amount(spark.createDataFrame(paid, "k string, v double"), "k", "v", floor=0.0)))
+    for k in "pq":
+        own = sorted(v for key, v in paid if key == k and v is not None and v > 0)
+        assert found[k] == own[(len(own) - 1) // 2]
+    assert set(found) == {"p", "q"}
+
+
+def test_rows_without_a_key_never_meet(spark):
+    nobody = {"account": None, "card": None, "device": None, "merchant": None}
+    usual = [(i * 86400 + 50000, {"amount": 600.0, "customer": c, "account": "A9"}) for i in range(1, 20) for c in ("C1", "C2")]
+    drain = [(0, {**nobody, "amount": 1.0}), (300, {**nobody, "amount": 90000.0, "customer": "C2"})]
+    token = [(9, {**nobody, "amount": 1.0, "side": "CREDIT"}), (500, {**nobody, "abroad": True})]
+    ring = [(i, {**nobody, "card": f"K{i}", "amount": 77.0}) for i in range(5)]
+    df = frame(spark, drain + token + ring + usual)
+    assert ids(detectors.probe_then_drain(df)) == ids(detectors.takeovers(df)) == []
+    assert ids(detectors.card_bursts(df.filter("account_id IS NULL"), factor=0.0, count=2)) == []
+    assert ids(detectors.geo_jumps(df.filter("card_id IS NULL"))) == ids(detectors.collusion_rings(df)) == []
 
 
 def test_a_burst_needs_five_large_debits_in_forty_minutes(spark):

@@ -31,6 +31,13 @@ def test_trace_depth_direction_and_roots(edges):
         graph.trace(edges, "d", "sideways")
 
 
+def test_a_trace_has_no_depth_limit(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}", "x") for i in range(12)] * 2, "from_dataset string, to_dataset string, transform_id string")
+    assert rows(graph.trace(chain, "n0"), "dataset", "level")[-1] == ("n9", 9) and graph.trace(chain, "n0").count() == 12
+    monkeypatch.setattr(graph, "SMALL_FRONTIER", 0)
+    assert graph.trace(chain, "n0").count() == 12
+
+
 def test_neighbours(edges):
     assert rows(graph.upstream_of(edges, "d")) == [("b",), ("c",)]
     assert rows(graph.downstream_of(edges, "bronze.a")) == [("b",), ("c",)]

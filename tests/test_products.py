@@ -82,7 +82,8 @@ def test_labels_show_only_when_available_at_the_anchor(spark):
         ("tomorrow", "C1", AS_OF - timedelta(days=89), "CARD", 1.0),
     )
     labels = spark.createDataFrame(
-        [("known", "GEO_JUMP", AS_OF), ("tomorrow", "GEO_JUMP", AS_OF + timedelta(days=1))],
+        # the first label is delivered three times
+        [("known", "BURST", AS_OF - timedelta(days=1)), ("known", "GEO_JUMP", AS_OF), ("known", "GEO_JUMP", AS_OF), ("tomorrow", "GEO_JUMP", AS_OF + timedelta(days=1))],
         "transaction_id string, fraud_method string, label_available_date date",
     )
     out = products.transaction_product(facts, labels, CTX)

@@ -51,8 +51,11 @@ def test_a_metric_named_like_a_dimension_is_renamed(product):
 
 def test_limits():
     limit = lambda **k: mq.plan(MetricRequest("customer_360", ["total_balance"], **k)).limit
-    assert (limit(), limit(dimensions=["region"])) == (1, 100)
-    assert (limit(limit=0), limit(limit=99999)) == (1, 1000)
+    assert limit() is None and limit(dimensions=["region"]) is None and limit(limit=7) == 7
+    for wrong in (0, 1001):
+        with pytest.raises(RequestRefused) as refused:
+            limit(limit=wrong)
+        assert refused.value.code == "LIMIT_OUT_OF_RANGE"
 
 
 def test_row_counts_say_nothing_at_key_grain_and_twins_are_dropped():
