@@ -58,7 +58,7 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
         near_nodes = F.broadcast(frontier) if size <= SMALL_FRONTIER else frontier
         reached = materialise(
             hops.join(near_nodes, "node")
-            .select("dataset", "transform_id")
+            .select("node", "dataset", "transform_id")
             .distinct()
             .select("dataset", "transform_id", F.lit(direction).alias("direction"), F.lit(level).alias("level"))
         )
