@@ -51,6 +51,15 @@ class Zones:
         fs, location = self._fs(path)
         return fs.exists(location)
 
+    def file_states(self) -> list[tuple[str, int, int]]:
+        """Path, size and time of every file below the root."""
+        fs, location = self._fs(self.root)
+        files, found = fs.listFiles(location, True), []
+        while files.hasNext():
+            entry = files.next()
+            found.append((entry.getPath().toString(), entry.getLen(), entry.getModificationTime()))
+        return sorted(found)
+
     def exists(self, dataset: str) -> bool:
         return self.has_files(self.path(dataset))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,18 +55,21 @@ class Published:
     """The products of one folder, written once per session and read by later queries.
 
     This is how the products are used for real: built by a run, then queried many times.
+    They are kept under the state of the input files (path, size and time), so data that
+    were rewritten in the same folder are built anew.
     """
 
     def __init__(self, tables: Tables) -> None:
         self.tables = tables
-        folder = hashlib.sha256(tables.folder.encode()).hexdigest()[:16]
+        zones = Zones(tables.spark, tables.folder)
+        state = hashlib.sha256(json.dumps([tables.folder, zones.file_states()]).encode()).hexdigest()[:16]
         session = tables.spark.sparkContext.applicationId
-        self.zones = Zones(tables.spark, f"{durable_dir(tables.spark)}/ledgerloom/published-{session}-{folder}")
+        self.zones = Zones(tables.spark, f"{durable_dir(tables.spark)}/ledgerloom/published-{session}-{state}")
 
-    def read(self, dataset: str) -> DataFrame:
+    def read(self, dataset: str, build: Callable[[], DataFrame] | None = None) -> DataFrame:
         # Spark writes this marker last, so a half-written table is built again.
         if not self.zones.folder_exists(f"{self.zones.path(dataset)}/_SUCCESS"):
-            self.zones.write(dataset, self._build(dataset))
+            self.zones.write(dataset, build() if build else self._build(dataset))
         return self.zones.read(dataset, merge_schema=False)
 
     def _build(self, dataset: str) -> DataFrame:

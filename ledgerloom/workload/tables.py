@@ -16,6 +16,7 @@ from ledgerloom.context import RunContext
 from ledgerloom.functions import bands
 from ledgerloom.operators import conform, products
 from ledgerloom.operators.snapshots import latest_per_key
+from ledgerloom.session import materialise
 
 AS_OF = date(2024, 1, 30)
 ACCOUNT_TYPES = {
@@ -102,15 +103,21 @@ class Tables:
             "_batch_id",
         )
 
-    def _months(self, lines: DataFrame) -> DataFrame:
+    @cached_property
+    def months(self) -> DataFrame:
         """Line items per order and shipping month, with the order's own columns.
 
-        Joined before it is grouped: the exchange on the order key serves both. Flags are
-        folded as codes and booleans, which keeps the aggregate hash-based.
+        Accounts and loans are two projections of this roll-up; it is written once, so that
+        line items meet their orders once. Joined before it is grouped: the exchange on the
+        order key serves both. Flags are folded as codes and booleans, which keeps the
+        aggregate hash-based.
         """
+        sites = self["supplier"].join(self["nation"], F.col("s_nationkey") == F.col("n_nationkey")).select(
+            "s_suppkey", F.col("n_regionkey").alias("site_regionkey")
+        )
+        lines = self["lineitem"].join(sites, F.col("l_suppkey") == F.col("s_suppkey"), "left")
         price = F.col("l_extendedprice")
         orders = self["orders"].select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice")
-        extra = {"site_regionkey": F.max(F.when(F.col("l_discount") > 0, F.col("site_regionkey")))}
         measures = {
             "suppkey": F.max("l_suppkey"),
             "all_closed": F.bool_and(F.col("l_linestatus") == "F"),
@@ -121,9 +128,9 @@ class Tables:
             "quantity": F.sum("l_quantity"),
             "price": F.sum(price),
             "net": F.sum(F.when(F.col("l_returnflag") == "R", -price).otherwise(price)),
-            **(extra if "site_regionkey" in lines.columns else {}),
+            "site_regionkey": F.max(F.when(F.col("l_discount") > 0, F.col("site_regionkey"))),
         }
-        return (
+        return materialise(
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(*orders.columns, F.trunc("l_shipdate", "MM").alias("month"))
             .agg(*[column.alias(name) for name, column in measures.items()])
@@ -132,12 +139,8 @@ class Tables:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        sites = self["supplier"].join(self["nation"], F.col("s_nationkey") == F.col("n_nationkey")).select(
-            "s_suppkey", F.col("n_regionkey").alias("site_regionkey")
-        )
-        monthly = self._months(self["lineitem"].join(sites, F.col("l_suppkey") == F.col("s_suppkey")))
         regions = self["region"].select(F.col("r_regionkey").alias("site_regionkey"), F.col("r_name").alias("branch_region"))
-        return monthly.join(regions, "site_regionkey", "left").select(
+        return self.months.join(regions, "site_regionkey", "left").select(
             coded("A", "o_orderkey").alias("account_id"),
             coded("C", "o_custkey").alias("customer_id"),
             mapped("o_orderpriority", ACCOUNT_TYPES).alias("account_type"),
@@ -155,7 +158,7 @@ class Tables:
     @cached_property
     def loans(self) -> DataFrame:
         lateness = F.greatest(F.lit(0), F.date_diff("shipdate", "o_orderdate")) % 121
-        base = self._months(self["lineitem"]).withColumns(
+        base = self.months.withColumns(
             {
                 "interest_rate": F.round(F.col("discount") * 100, 2),
                 "tenor_months": (F.col("linenumber") + 1).cast("long") * 12,
@@ -197,11 +200,10 @@ class Tables:
 
     @cached_property
     def bureau(self) -> DataFrame:
-        """Settled orders per customer and month as bureau records."""
+        """Orders per customer and month as bureau records."""
         month_no = F.year("o_orderdate") * 12 + F.month("o_orderdate")
         counted = (
             self["orders"]
-            .filter(F.col("o_orderstatus") != "P")
             .groupBy("o_custkey", month_no.alias("month_no"), month_id("o_orderdate").alias("_batch_id"))
             .agg(
                 F.max("o_totalprice").alias("peak"),
@@ -338,9 +340,10 @@ class Tables:
 
     @cached_property
     def customer_360(self) -> DataFrame:
-        return products.customer_360(
-            self.s_customers, self.s_accounts, self.s_loans, self.s_transactions, self.s_credit, self.ctx
-        )
+        crm = materialise(self.crm)  # versions and residences come from the same snapshots
+        customers = conform.silver_customers(crm, self.ctx, collapse=False)
+        accounts = conform.silver_accounts(self.accounts, crm)
+        return products.customer_360(customers, accounts, self.s_loans, self.s_transactions, self.s_credit, self.ctx)
 
     @cached_property
     def transaction(self) -> DataFrame:

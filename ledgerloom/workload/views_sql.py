@@ -95,7 +95,7 @@ VIEWS: dict[str, str] = {
                round(sum(o_totalprice), 2) AS total_exposure,
                count(*) FILTER (o_orderstatus = 'O') AS active_tradelines,
                CAST(strftime(o_orderdate, {MONTH}) AS DATE) AS as_of_date, strftime(o_orderdate, {MONTH}) AS _batch_id
-        FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey, strftime(o_orderdate, {MONTH})""",
+        FROM orders GROUP BY o_custkey, strftime(o_orderdate, {MONTH})""",
     "cards": """
         SELECT 'K' || user_id AS card_id, 'C' || user_id AS customer_id,
                CASE max(event_type) WHEN 'view' THEN 'CREDIT' ELSE 'DEBIT' END AS card_type,
