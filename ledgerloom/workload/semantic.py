@@ -318,6 +318,11 @@ _HITS_SQL = ", ".join(
     f"CAST(len(regexp_extract_all(text, {_pattern_sql(p)})) AS BIGINT) AS {kind}"
     for kind, p in {**text.BLOCKED_PATTERNS, **text.BLOCKED_INSTRUMENTS}.items()
 )
+_ANY_SQL = " OR ".join(
+    f"coalesce(regexp_matches(text, {_pattern_sql(p)}), FALSE)"
+    for p in {**text.BLOCKED_PATTERNS, **text.BLOCKED_INSTRUMENTS}.values()
+)
+_HITS_SQL += f", CASE WHEN {_ANY_SQL} THEN 'blocked' ELSE 'allowed' END AS verdict"
 
 
 @query(
@@ -329,7 +334,11 @@ def _(t):
     hits = [count.alias(kind) for kind, count in text.blocked_hits(body).items()]
     masked = t["documents"].withColumn("__masked", text.masked(body))
     return masked.select(
-        "doc_id", F.md5("__masked").alias("masked_md5"), (F.col("__masked") != body).alias("changed"), *hits
+        "doc_id",
+        F.md5("__masked").alias("masked_md5"),
+        (F.col("__masked") != body).alias("changed"),
+        *hits,
+        text.verdict(body).alias("verdict"),
     )
 
 
@@ -339,7 +348,8 @@ def _(t):
 )
 def _(t):
     hits = [count.alias(kind) for kind, count in text.blocked_hits(F.col("text")).items()]
-    return t["conversations"].select("conv_id", "turn", F.md5(text.masked(F.col("text"))).alias("masked_md5"), *hits)
+    masked = F.md5(text.masked(F.col("text"))).alias("masked_md5")
+    return t["conversations"].select("conv_id", "turn", masked, *hits, text.verdict(F.col("text")).alias("verdict"))
 
 
 # -- business terms -------------------------------------------------------------------
@@ -378,7 +388,7 @@ _STOP = ", ".join(f"'{w}'" for w in text.TERM_STOPWORDS)
             SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, metric) AS place
             FROM scored WHERE score >= 0.45),
          best AS (
-            SELECT conv_id, turn, count(*) FILTER (place <= 5) AS candidates, max(ref) FILTER (place = 1) AS top_ref,
+            SELECT conv_id, turn, count(*) AS candidates, max(ref) FILTER (place = 1) AS top_ref,
                    max(score) FILTER (place = 1) AS first_score, max(score) FILTER (place = 2) AS second_score
             FROM ranked GROUP BY 1, 2)
          SELECT conv_id, turn, CAST(coalesce(candidates, 0) AS INTEGER) AS candidates,

@@ -80,6 +80,11 @@ def test_ratio_is_null_instead_of_a_division_by_zero(spark):
     assert [r[0] for r in frame.select(bands.ratio(F.col("a"), F.col("b"))).collect()] == [None, 0.25]
 
 
+PHONES = [
+    f"call {n} now" for n in ("+91 98765 43210", "+1 (212) 555-0199", "+44-20-7946-0958", "+493012345678", "(212) 555-0199", "212-555-0199")
+] + ["at 2001:0db8:85a3:0000:0000:8a2e:0370:7334", "at fe80::1:2", "at 10:30:45, 1-2-3, 2024-01-30 and 12 345"]
+
+
 def test_tokens_are_singular_distinct_and_without_stop_words(spark):
     got = evaluate(
         spark, ["Show me the Customers and countries; customer class, glass!"], "string", text.search_tokens
@@ -101,6 +106,10 @@ def test_masking_and_blocking(spark):
     out = df.select(text.masked(F.col("t")).alias("m"), *[c.alias(k) for k, c in text.blocked_hits(F.col("t")).items()])
     first, none, plain = out.collect()
     assert first["m"].startswith("Mail {EMAIL} or {PHONE} from {IP_ADDRESS};")
+    shown = evaluate(spark, PHONES, "string", text.masked)
+    assert shown == ["call {PHONE} now"] * 6 + ["at {IPV6_ADDRESS}", "at {IPV6_ADDRESS}", "at 10:30:45, 1-2-3, 2024-01-30 and 12 345"]
+    judged = evaluate(spark, ["CVV: 123", "exp 04/27", "SWIFT DEUTDEFF500", "PIN 1234", "tea at 4", None], "string", text.verdict)
+    assert judged == ["blocked"] * 4 + ["allowed"] * 2
     assert (first["pan_number"], first["internal_customer_id"], first["card_number"]) == (1, 1, 1)
     assert none["m"] is None and none["pan_number"] is None
     assert plain["m"] == "nothing here" and plain["card_number"] == 0
