@@ -30,14 +30,29 @@ def values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: the plan is cut and survives lost executors."""
+#: Rows of a narrow table that are worth a task and a file of their own.
+ROWS_PER_FILE = 200_000
+
+
+def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: the plan is cut and survives lost executors.
+
+    ``rows``, if known, is an upper bound of the rows of a narrow table; a small one is then written by few tasks
+    instead of as one tiny file for every shuffle partition.
+    """
     path = scratch_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SHIPPED: set[str] = set()
+#: (setting, Spark's default, ours): whole texts are large rows, so batches are kept small; other choices are left alone.
+ARROW = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),
+)
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,6 +60,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in SHIPPED:
         return
+    for name, usual, value in ARROW:
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, value)
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(package):  # else it is an archive already, handed over by whoever submitted it
         archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "ledgerloom.zip")

@@ -77,7 +77,7 @@ def thresholds(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``rows``: stored (source, size, h). One row per source: sizes, target, ``base`` and ``below``, the exclusive
     hash bound of what is taken once more."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = store(targets(sizes, mix), "mix-targets")
+    plan = store(targets(sizes, mix), "mix-targets", 0)
     current = rows
     state = plan.select("source", F.col("extra").alias("left"))
     done: list[DataFrame] = []
@@ -88,7 +88,7 @@ def thresholds(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
         running = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         summed = sums.withColumn("until", running).select(F.col("source").alias("s"), "bucket", "words", "until", "low", "high")
         crossing = summed.join(state, F.col("s").eqNullSafe(F.col("source"))).where((F.col("until") >= F.col("left")) & (F.col("until") - F.col("words") < F.col("left")))
-        bound = store(crossing.select("source", "bucket", (F.col("left") - F.col("until") + F.col("words")).alias("left"), "words", "low", "high"), "mix-bound")
+        bound = store(crossing.select("source", "bucket", (F.col("left") - F.col("until") + F.col("words")).alias("left"), "words", "low", "high"), "mix-bound", 0)
         single = bound.where("low = high")
         done.append(single.select("source", (F.col("low") + (F.col("words") <= 2 * F.col("left")).cast("long")).alias("below")))
         wide = bound.where("low <> high")
@@ -104,7 +104,7 @@ def thresholds(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     found = found.select(F.col("source").alias("s"), "below")
     nothing = F.when(F.col("extra") > 0, F.lit(1 << BITS)).otherwise(0)
     placed = plan.join(found, plan["source"].eqNullSafe(found["s"]), "left")
-    return store(placed.select("source", "source_size", "target", "base", F.coalesce("below", nothing).cast("long").alias("below")), "mix-thresholds")
+    return store(placed.select("source", "source_size", "target", "base", F.coalesce("below", nothing).cast("long").alias("below")), "mix-thresholds", 0)
 
 
 def copies() -> Column:

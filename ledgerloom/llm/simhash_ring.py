@@ -110,7 +110,7 @@ def near_links(prints: DataFrame, ring: Ring = Ring()) -> DataFrame:
     ]
     keyed = prints.select("fp", F.inline(F.array(*starts)))
     sizes = keyed.groupBy("s", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = store(keyed.join(sizes, ["s", "key"]), "simhash-keys")  # a lone key has no pair
+    keyed = store(keyed.join(sizes, ["s", "key"]), "simhash-keys", ring.segments * prints.count())  # a lone key has no pair
     small = keyed.where(F.col("n") <= ring.bucket)
     x = F.col("a").bitwiseXOR(F.col("b"))
 
@@ -142,11 +142,12 @@ def near_links(prints: DataFrame, ring: Ring = Ring()) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ring: Ring = Ring()) -> DataFrame:
     """One row per row of ``docs``: key, ``fp`` and ``component_id`` (smallest key of the class)."""
     prints = store(fingerprints(docs, key, text, ring), "simhash-fp")
-    groups = store(prints.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
-    roots = components(near_links(groups.select("fp"), ring), "simhash-cc")
+    total = prints.count()
+    groups = store(prints.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct", total)
+    roots = components(near_links(groups.select("fp"), ring), "simhash-cc", total)
     placed = groups.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = store(placed.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
+    by_print = store(placed.join(smallest, "root").select("fp", "component_id"), "simhash-classes", total)
     return prints.join(by_print, "fp").select(key, "fp", "component_id")
 
 

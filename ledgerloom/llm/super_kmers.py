@@ -331,12 +331,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     source = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     rows = store(first_pass(source, shape), "kmer-rows")
     seen = rows.where("id IS NOT NULL").select("id", F.explode("minimisers").alias("v"))
-    shared = store(seen.groupBy("v").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("v"), "kmer-shared")
+    shared = store(seen.groupBy("v").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("v"), "kmer-shared", seen.count())
     runs = store(second_pass(source, shape, bitmap(shared, "v", shape.bitmap_bits)), "kmer-runs")
 
     strings = store(runs.groupBy("v", "digest", "packed").agg(F.min("id").alias("first")), "kmer-strings")
     load = strings.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.length("packed")).alias("bytes"))
-    crowd = store(load.where((F.col("n") > shape.crowd_strings) | (F.col("bytes") > shape.crowd_bytes)).select("v"), "kmer-crowd")
+    crowd = store(load.where((F.col("n") > shape.crowd_strings) | (F.col("bytes") > shape.crowd_bytes)).select("v"), "kmer-crowd", strings.count())
     leasts = bucket_leasts(strings.join(crowd, "v", "left_anti"), shape)
     if not crowd.isEmpty():
         leasts = leasts.unionByName(crowded_leasts(strings.join(crowd, "v", "left_semi"), shape))

@@ -130,7 +130,7 @@ def write_tokens(
     bases = manifest.select(
         "*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"first_{c.rstrip('s')}") for c in ("docs", "ids")]
     )
-    bases = store(bases, "token-bases")
+    bases = store(bases, "token-bases", 0)
     return TokenSet(folder, bases)
 
 
