@@ -31,7 +31,9 @@ def roots(ids, links):
 
 def test_fingerprint():
     for text in ["", "A", "a B", "x y z", prose(1, 50), prose(2, 333) + " ÄÖ ß"]:
-        assert fingerprint(text.encode(), 3) == brute_print(text)
+        assert fingerprint(text.encode(), 3) == [brute_print(text)]
+        several = fingerprint(text.encode(), 3, 4)
+        assert several[0] == brute_print(text) and len(set(several)) == (4 if text else 1)
 
 
 def test_links_connect_what_brute_force_connects(spark):
@@ -46,12 +48,13 @@ def test_links_connect_what_brute_force_connects(spark):
     centre = rng.getrandbits(64)
     prints |= {centre ^ (1 << i) ^ (1 << (i * 7) % 64) for i in range(64)}
     ids = sorted(map(signed, prints))
-    table = spark.createDataFrame([(i,) for i in ids], "fp long")
+    table = spark.createDataFrame([(k, i) for i in ids for k in (0, 1) if k == 0 or i % 3], "k int, fp long")
     for distance in (1, 2):
         near = [(a, b) for a in ids for b in ids if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance]
         for bucket in (512, 1):  # the joined way, and the way for crowded keys
-            links = near_links(table, Ring(distance=distance, bucket=bucket))
-            got = [(r.a, r.b) for r in links.collect()]
+            links = near_links(table, Ring(distance=distance, bucket=bucket)).collect()
+            got = [(r.a, r.b) for r in links if r.k == 0]
+            assert {(r.a, r.b) for r in links if r.k} <= {(a, b) for a, b in near if a % 3 and b % 3}
             assert roots(ids, got) == roots(ids, near)
             if bucket == 512:
                 assert sorted(got) == sorted(near)
@@ -73,7 +76,7 @@ def test_edge_rows(spark):
     docs = clashing(documents(spark, edge_rows()))
     found = {(r.doc_id, r.fp): r.component_id for r in classes(docs).collect()}
     assert classes(docs).count() == len(edge_rows())
-    copy = signed(fingerprint(prose(1, 120).encode(), 3))
+    (copy,) = map(signed, fingerprint(prose(1, 120).encode(), 3))
     assert found[(7, copy)] == found[(1, copy)] == found[(None, copy)] == 1
     assert found[(3, 0)] == found[(4, 0)] == found[(2, 0)] == 2 and found[(None, 0)] == 2
     kept = drop_near_copies(docs)
@@ -85,6 +88,20 @@ def test_edge_rows(spark):
     assert [r.component_id for r in classes(lone).collect()] == [None, None] and drop_near_copies(lone).count() == 1
 
 
+def test_more_prints_find_more_near_copies(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in range(60):
+        words = prose(300 + n, 250).split()
+        rows.append((2 * n, " ".join(words)))
+        words[rng.randrange(250)] = "changed"
+        rows.append((2 * n + 1, " ".join(words)))
+    docs = documents(spark, rows)
+    found = [sum(r.component_id == r.doc_id - r.doc_id % 2 for r in classes(docs, ring=Ring(prints=n)).collect() if r.doc_id % 2) for n in (1, 8)]
+    assert found[0] < found[1] and found[1] >= 54
+    assert all(r.component_id // 2 == r.doc_id // 2 for r in classes(docs, ring=Ring(prints=8)).collect())
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert classes(empty).count() == 0 and drop_near_copies(empty).count() == 0
