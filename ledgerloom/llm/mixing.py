@@ -127,10 +127,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns unchanged; texts are not shuffled."""
-    rows = store(docs.select(docs[source].alias("source"), words(docs[text]).alias("size"), place(docs[key], docs[text]).alias("h")), "mix-rows")
-    plan = thresholds(rows, mix).select(F.struct("source", "base", "below").alias("__mix"))
-    marked = docs.withColumn("__h", place(docs[key], docs[text]))
-    joined = with_small(marked, plan, marked[source].eqNullSafe(plan["__mix.source"]))
-    times = F.col("__mix.base") + (F.col("__h") < F.col("__mix.below")).cast("long")
-    copied = joined.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))))
-    return copied.select(*[F.col(f"`{c}`") for c in docs.columns])
+    h = place(docs[key], docs[text]).alias("h")
+    rows = store(docs.select(docs[source].alias("source"), words(docs[text]).alias("size"), h), "mix-rows")
+    plan = thresholds(rows, mix).select(F.col("source").alias("s"), "base", "below")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    marked = docs.select(whole, docs[source].alias("source"), h)
+    joined = with_small(marked, plan, marked["source"].eqNullSafe(plan["s"]))
+    times = F.when(copies() > 0, F.sequence(F.lit(1), copies().cast("int")))
+    return joined.select("doc", F.explode(times)).select("doc.*")

@@ -90,7 +90,7 @@ def fingerprint(text: bytes, size: int, prints: int = 1) -> list[int]:
         ones = np.zeros(BITS, np.int64)
         for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
             block = hashes[at : at + (1 << 16)]
-            block = mixed(block + PRIME * np.uint64(n)) if n else block
+            block = mixed(block ^ np.uint64(n * int(PRIME) % (1 << 64))) if n else block
             ones += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"))
     return out
@@ -185,11 +185,12 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     Survivors are found on narrow rows. Texts move once, on (key, text hash), which has no hot values, and repeated
     rows are dropped in the same partitioning.
     """
-    lone = F.col(key).isNull()
-    tagged = docs.withColumns({"__k": F.coalesce(F.col(key).cast("string"), F.lit("")), "__h": F.xxhash64(F.col(text))})
-    row = F.struct(lone.alias("lone"), F.col(key).alias("k"), F.col("__k"), F.col("__h")).alias("row")
-    placed = classes(tagged.select(row, F.col(text).alias("text")), "row", "text", ring)
-    stay = placed.select("component_id.__k", "component_id.__h").distinct()
-    kept = tagged.join(stay, ["__k", "__h"], "left_semi")
-    first = Window.partitionBy("__k", "__h").orderBy(lone)
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    name = F.coalesce(docs[key].cast("string"), F.lit("")).alias("k")
+    tagged = docs.select(whole, name, F.xxhash64(docs[text]).alias("h"), docs[key].isNull().alias("lone"))
+    row = F.struct("lone", F.col("doc")[key].alias("id"), "k", "h").alias("row")
+    placed = classes(tagged.select(row, F.col("doc")[text].alias("text")), "row", "text", ring)
+    stay = placed.select("component_id.k", "component_id.h").distinct()
+    kept = tagged.join(stay, ["k", "h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("k", "h").orderBy("lone"))
+    return kept.withColumn("n", first).where("n = 1").select("doc.*")
