@@ -97,41 +97,57 @@ def ingest_bronze(zones: Zones, landing: str) -> dict[str, int]:
     )
 
 
-def _write(zones: Zones, step: Transform, ctx: RunContext) -> int:
+def candidates(zones: Zones) -> Zones:
+    """Where products wait for the verdict on them, beside the lake that readers see."""
+    return Zones(zones.spark, f"{zones.root}/_candidate")
+
+
+def _write(zones: Zones, step: Transform, ctx: RunContext, into: Zones) -> int:
     frame = step.build({name: zones.read(name) for name in step.inputs}, ctx)
     if step.cluster_by:
         frame = frame.repartitionByRange(*step.cluster_by)
-    return zones.write(step.output, frame, allow_empty=False)
+    return into.write(step.output, frame, allow_empty=False)
 
 
-def _build(zones: Zones, transforms: Sequence[Transform], ctx: RunContext) -> dict[str, int]:
+def _build(zones: Zones, transforms: Sequence[Transform], ctx: RunContext, into: Zones | None = None) -> dict[str, int]:
     """The transforms of one layer do not depend on each other."""
-    return together({t.output: (lambda t=t: _write(zones, t, ctx)) for t in transforms})
+    return together({t.output: (lambda t=t: _write(zones, t, ctx, into or zones)) for t in transforms})
 
 
 def build_silver(zones: Zones, ctx: RunContext) -> dict[str, int]:
     return _build(zones, SILVER, ctx)
 
 
-def build_gold(zones: Zones, ctx: RunContext, landing: str | None = None) -> dict[str, int]:
+def build_gold(
+    zones: Zones, ctx: RunContext, landing: str | None = None, *, into: Zones | None = None
+) -> dict[str, int]:
     """The products; labels are loaded first when a landing folder is given."""
     labels = {} if landing is None else {ingest.HOLDOUT: ingest.ingest_labels(zones, landing)}
-    return {**labels, **_build(zones, GOLD, ctx)}
+    return {**labels, **_build(zones, GOLD, ctx, into)}
 
 
-def publish_all(zones: Zones, ctx: RunContext, *, enforce: bool = True) -> dict[str, int]:
-    """Quality results, lineage, SLA and catalogue; raises on a critical failure.
+def publish_all(zones: Zones, ctx: RunContext, *, enforce: bool = True, waiting: Zones | None = None) -> dict[str, int]:
+    """Quality results, contract check, lineage, SLA and catalogue; raises on a critical failure.
 
     The operational tables are written before the verdict, so that a failed run can be
-    explained from them.
+    explained from them. Products in ``waiting`` are judged there and take the place of
+    the published ones only after the verdict; a failed run leaves those as they were.
     """
     spark = zones.spark
     named = sorted({r.dataset for r in PUBLISHED_RULES} | {r.reference for r in PUBLISHED_RULES if r.reference})
-    tables = {name: zones.read(name) for name in named if zones.exists(name)}
+
+    def home(name: str) -> Zones:
+        return waiting if waiting is not None and waiting.exists(name) else zones
+
+    tables = {name: home(name).read(name) for name in named if home(name).exists(name)}
+    gold = {c.product: tables[c.dataset] for c in catalog.CONTRACTS.values() if c.dataset in tables}
     evaluated = quality.stamped_results(quality.evaluate(spark, PUBLISHED_RULES, tables), ctx)
     counts = together(
         {
             "ops.dq_results": lambda: zones.write("ops.dq_results", evaluated.coalesce(1)),
+            "ops.contract_problems": lambda: zones.write(
+                "ops.contract_problems", publish.contract_problems(spark, gold).coalesce(1)
+            ),
             "ops.lineage_edges": lambda: zones.write(
                 "ops.lineage_edges", publish.lineage_edges(spark, ALL_JOBS, ctx)
             ),
@@ -149,8 +165,15 @@ def publish_all(zones: Zones, ctx: RunContext, *, enforce: bool = True) -> dict[
         publish.catalog_snapshot(catalog.contract_table(spark), zones.read("ops.sla_status"), ctx),
     )
     critical = quality.summary(results).first()["critical_failures"]
+    broken = counts.pop("ops.contract_problems")
     if enforce and critical:
         raise CriticalQualityFailure(f"{critical} critical rule(s) failed; see ops.dq_results")
+    if enforce and broken:
+        raise CriticalQualityFailure(f"{broken} contract problem(s); see ops.contract_problems")
+    if waiting is not None:
+        for step in GOLD:
+            if waiting.exists(step.output):
+                zones.take_over(step.output, waiting)
     return counts
 
 
@@ -176,9 +199,11 @@ def run(
         counts |= ingest_bronze(zones, landing)
     if "silver" in stages:
         counts |= build_silver(zones, ctx)
+    # A run that also publishes lets the products wait for the verdict.
+    waiting = candidates(zones) if "publish" in stages else None
     if "gold" in stages:
-        counts |= build_gold(zones, ctx, landing)
+        counts |= build_gold(zones, ctx, landing, into=waiting)
     if "publish" in stages:
-        counts |= publish_all(zones, ctx, enforce=enforce)
+        counts |= publish_all(zones, ctx, enforce=enforce, waiting=waiting if "gold" in stages else None)
     record_runs(zones, ctx, counts)
     return counts

@@ -62,13 +62,24 @@ def united(batches: Sequence[DataFrame]) -> DataFrame:
 
 
 def read_extracts(spark: SparkSession, folder: str) -> DataFrame:
-    """All files of an extract tree; batch folders are only layout and add no column."""
-    df = (
+    """All files of an extract tree; batch folders are only layout and add no column.
+
+    Files may differ in columns. If they also differ in the type of a column (an int that
+    became a bigint), Parquet schemas cannot be merged; then each batch folder is read by
+    itself and the union takes the wider type.
+    """
+    read = (
         spark.read.option("recursiveFileLookup", "true")
         .option("mergeSchema", "true")
         .option("pathGlobFilter", "*.parquet")
-        .parquet(folder)
     )
+    try:
+        df = read.parquet(folder)
+    except Exception as problem:
+        batches = Zones(spark, folder).folders()
+        if "CANNOT_MERGE_SCHEMAS" not in str(problem) or not batches:
+            raise
+        return united([read.parquet(batch) for batch in batches])
     return df.select(*sorted(df.columns))
 
 

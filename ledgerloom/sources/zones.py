@@ -51,6 +51,12 @@ class Zones:
         fs, location = self._fs(path)
         return fs.exists(location)
 
+    def folders(self) -> list[str]:
+        """The folders directly below the root that hold Parquet files."""
+        fs, location = self._fs(self.root)
+        found = [entry.getPath().toString() for entry in fs.listStatus(location) if entry.isDirectory()]
+        return sorted(path for path in found if self.has_files(path))
+
     def file_states(self) -> list[tuple[str, int, int]]:
         """Path, size and time of every file below the root."""
         fs, location = self._fs(self.root)
@@ -107,6 +113,20 @@ class Zones:
             raise EmptyOutputError(f"{dataset} produced 0 rows")
         return rows
 
+    def take_over(self, dataset: str, other: Zones) -> None:
+        """Put the table of another lake in the place of ours, by renaming; ours is dropped last."""
+        fs, here = self._fs(self.path(dataset))
+        _, new = self._fs(other.path(dataset))
+        _, old = self._fs(f"{self.path(dataset)}__replaced")
+        fs.delete(old, True)
+        fs.mkdirs(here.getParent())
+        if fs.exists(here) and not fs.rename(here, old):
+            raise OSError(f"could not set {dataset} aside")
+        if not fs.rename(new, here):
+            fs.rename(old, here)
+            raise OSError(f"could not publish {dataset}")
+        fs.delete(old, True)
+
     # -- SQL names -----------------------------------------------------------
     def register(self, dataset: str) -> None:
         """Expose one table to SQL as ``zone.table``, seeing its newest files."""

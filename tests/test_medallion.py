@@ -35,7 +35,7 @@ def test_every_table_is_written_and_recorded(lake):
     zones, _, counts = lake
     assert len(zones.tables("bronze")) == 9 and len(zones.tables("silver")) == 7
     assert zones.tables("gold") == ["credit_risk", "customer_360", "transaction"]
-    assert zones.tables("ops") == ["catalog", "dq_results", "fraud_ground_truth", "lineage_edges", "pipeline_runs", "sla_status"]
+    assert zones.tables("ops") == ["catalog", "contract_problems", "dq_results", "fraud_ground_truth", "lineage_edges", "pipeline_runs", "sla_status"]
     assert zones.read("ops.pipeline_runs").count() == len(counts)
     assert all(counts[name] > 0 for name in counts)
 
@@ -91,6 +91,16 @@ def test_a_critical_failure_stops_publication(lake):
         medallion.publish_all(zones, tables.ctx)
 
 
+def test_a_failing_run_leaves_the_published_products(lake):
+    zones, tables, _ = lake
+    before = zones.file_states()
+    published = [s for s in before if "/gold/" in s[0] and "_candidate" not in s[0]]
+    with pytest.raises(medallion.CriticalQualityFailure):
+        medallion.run(zones, tables.ctx, f"{zones.root}/../landing", ["gold", "publish"])
+    assert [s for s in zones.file_states() if "/gold/" in s[0] and "_candidate" not in s[0]] == published
+    assert len(medallion.candidates(zones).tables("gold")) == 3
+
+
 def test_readers_api(lake):
     zones, _, _ = lake
     assert api.sla(zones, "transaction").first()["sla_freshness_hours"] == 1

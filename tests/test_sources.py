@@ -111,3 +111,11 @@ def test_manifest_per_batch(spark):
     out = manifest.batch_manifest(df)
     assert rows(out, "batch", "rows", "columns") == [("b1", 2, "_batch_id,n"), ("b2", 1, "_batch_id,n")]
     assert out.select("fingerprint").distinct().count() == 2
+
+
+def test_a_widened_type_is_united(spark, scratch):
+    spark.range(3).selectExpr("CAST(id AS INT) AS n").write.parquet(f"{scratch}/x/batch_month=2024-01")
+    later = spark.range(5_000_000_000, 5_000_000_002).selectExpr("id AS n", "'b' AS extra")
+    later.write.parquet(f"{scratch}/x/batch_month=2024-02")
+    got = ingest.read_extracts(spark, f"{scratch}/x")
+    assert dict(got.dtypes) == {"extra": "string", "n": "bigint"} and got.agg({"n": "max"}).first()[0] == 5_000_000_001
