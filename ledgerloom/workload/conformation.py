@@ -82,22 +82,39 @@ def _(t):
     return snapshots.drop_redelivered(delivered).drop("_source_file", "_record_hash")
 
 
+def _fingerprint_sql(columns: list[str], source: str, by: str | None = None) -> str:
+    """Rows and fingerprint of a relation, for each value of ``by`` if that is given."""
+    texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in columns)
+    names = ",".join(columns)
+    group = f"{by} AS batch, " if by else ""
+    return f"""SELECT {"batch, rows, columns," if by else "rows,"}
+               CASE WHEN rows = 0 THEN 'empty' ELSE left(sha256(concat_ws('|', rows, columns, x, s)), 32) END AS fingerprint
+        FROM (SELECT {group}count(*) AS rows, '{names}' AS columns, bit_xor(h) AS x, sum(h % 2147483647) AS s
+              FROM (SELECT *, CAST('0x' || left(md5(concat_ws(chr(1), {texts})), 15) AS BIGINT) AS h FROM {source})
+              {"GROUP BY 1" if by else ""})"""
+
+
+_BATCH_COLUMNS = ["_batch_id", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"]
+
+
 @query(
     "batch_manifest",
-    """SELECT strftime(o_orderdate, '%Y-%m-01') AS batch, count(*) AS rows,
-              '_batch_id,o_custkey,o_orderkey,o_orderstatus,o_totalprice' AS columns
-       FROM orders GROUP BY 1""",
+    _fingerprint_sql(_BATCH_COLUMNS, "(SELECT *, strftime(o_orderdate, '%Y-%m-01') AS _batch_id FROM orders)", "_batch_id"),
 )
 def _(t):
     batches = t["orders"].select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", month_id("o_orderdate").alias("_batch_id")
     )
-    return manifest.batch_manifest(batches).drop("fingerprint")
+    return manifest.batch_manifest(batches)
+
+
+_LINE_COLUMNS = sorted(
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+)
 
 
-@query("table_fingerprint")
+@query("table_fingerprint", _fingerprint_sql(_LINE_COLUMNS, "lineitem"))
 def _(t):
-    # Engines hash differently, so this one has no SQL twin; tests pin its properties.
     return manifest.fingerprint(t["lineitem"])
 
 

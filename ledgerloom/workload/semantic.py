@@ -281,28 +281,58 @@ def _case_of(column: str, values: dict[str, str]) -> str:
 _FORBIDS = "len([r FOR r IN {rules} IF list_has_all(string_split(u, '_'), string_split(r, '_'))]) > 0"
 
 
-@query(
-    "use_policy_verdicts",
-    f"""SELECT event_id, product, "column", use,
-               coalesce(NOT ({_FORBIDS.format(rules="product_rules")}) AND known
-                        AND NOT ({_FORBIDS.format(rules="column_rules")})
-                        AND (len(allow_list) = 0 OR list_contains(allow_list, u)), FALSE) AS allowed
-        FROM (SELECT *, replace(lower(trim(use)), ' ', '_') AS u FROM (
+_REQUESTS_SQL = f"""(SELECT *, replace(lower(trim(use)), ' ', '_') AS u FROM (
                   SELECT event_id,
                          CASE event_type WHEN 'purchase' THEN 'customer_360' WHEN 'signup' THEN 'customer_360'
                               WHEN 'click' THEN 'transaction' WHEN 'view' THEN 'credit_risk' ELSE 'ledger' END AS product,
                          {_case_of("CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 5", REQUEST_COLUMNS)} AS "column",
                          {_case_of("user_id % 8", REQUEST_USES)} AS use
                   FROM events))
-        LEFT JOIN {_policy_values()} USING (product, "column")""",
+        LEFT JOIN {_policy_values()} USING (product, "column")"""
+
+
+@query(
+    "use_policy_verdicts",
+    f"""SELECT event_id, product, "column", use,
+               coalesce(NOT ({_FORBIDS.format(rules="product_rules")}) AND known
+                        AND NOT ({_FORBIDS.format(rules="column_rules")})
+                        AND (len(allow_list) = 0 OR list_contains(allow_list, u)), FALSE) AS allowed
+        FROM {_REQUESTS_SQL}""",
 )
 def _(t):
     return policy.verdicts(_requests(t), policy.policy_table(t.spark)).drop("reason")
 
 
-@query("use_policy_reasons")
+def _hit(rules: str) -> str:
+    """The rule of the same name, else the first whose words the use contains."""
+    return f"""coalesce([r FOR r IN {rules} IF r = u][1],
+                        [r FOR r IN {rules} IF list_has_all(string_split(u, '_'), string_split(r, '_'))][1])"""
+
+
+_VERSIONS = {c.product: f"{c.product}@{c.version}" for c in catalog.CONTRACTS.values()}
+
+
+@query(
+    "use_policy_reasons",
+    f"""SELECT product, "column", use, reason = 'permitted' AS allowed, reason, count(*) AS requests
+        FROM (SELECT *, CASE
+                WHEN source IS NULL THEN 'unknown product ''' || product || ''''
+                WHEN product_hit IS NOT NULL THEN '''' || use || ''' is prohibited for all of ' || source
+                     || CASE WHEN product_hit = u THEN '' ELSE ' because it is a form of ''' || product_hit || '''' END
+                     || ' (field not_allowed_use)'
+                WHEN NOT known THEN 'column ''' || "column" || ''' is not part of ' || source
+                WHEN column_hit IS NOT NULL THEN '''' || use || ''' is prohibited for column ''' || "column" || ''' of '
+                     || source || ' because it is a form of ''' || column_hit || ''' (column not_allowed_use)'
+                WHEN len(allow_list) > 0 AND NOT list_contains(allow_list, u)
+                     THEN 'column ''' || "column" || ''' of ' || source || ' is restricted to '
+                          || array_to_string(allow_list, ', ') || '; ''' || use || ''' is not among them'
+                ELSE 'permitted' END AS reason
+              FROM (SELECT *, CASE product {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _VERSIONS.items())} END AS source,
+                           {_hit("product_rules")} AS product_hit, {_hit("column_rules")} AS column_hit
+                    FROM {_REQUESTS_SQL}))
+        GROUP BY ALL""",
+)
 def _(t):
-    # Wording is for readers; the unit tests pin it, the twin above pins the verdicts.
     verdicts = policy.verdicts(_requests(t), policy.policy_table(t.spark))
     return verdicts.groupBy("product", "column", "use", "allowed", "reason").agg(F.count(F.lit(1)).alias("requests"))
 
