@@ -27,6 +27,8 @@ TAKEOVER_HOURS = (1, 5)
 TYPICAL_FLOOR = 500.0
 #: A slice is this many look-backs long, so about one row in eight is borrowed twice.
 SLICES_PER_LOOKBACK = 8
+#: Stretches of time within which a ring's cards are counted one by one.
+STRETCHES_PER_LOOKBACK = 16
 
 
 def time_slices(df: DataFrame, ts: str, lookback: int, *, slice_seconds: int | None = None) -> DataFrame:
@@ -244,7 +246,9 @@ def collusion_rings(
 
     ``ring_cards`` is the exact number of distinct cards in the closed look-back. A card
     counts from its charge until the look-back ends or it charges again, so the number is
-    a running sum of +1 and -1: constant state, no set of cards and no pairs of rows.
+    a running sum of +1 and -1: constant state, no set of cards and no pairs of rows. The
+    sum runs within short stretches of time and starts from the sum of all stretches
+    before, which are few and added up map-side: one popular price is not one task.
     """
     sliced = time_slices(_known(txns, merchant, amount, card), ts, seconds)
     again = F.lead("__us").over(W.partitionBy(merchant, amount, "__slice", card).orderBy("__us", *order))
@@ -258,14 +262,21 @@ def collusion_rings(
             )
         ),
     )
-    running = W.partitionBy(merchant, amount, "__slice").orderBy("__at").rangeBetween(
-        W.unboundedPreceding, W.currentRow
+    stretch = F.expr(f"__step.at div {max(1, seconds * SECOND // STRETCHES_PER_LOOKBACK)}L")
+    steps = steps.withColumns({"__at": F.col("__step.at"), "__delta": F.col("__step.delta"), "__stretch": stretch})
+    keys = [merchant, amount, "__slice"]
+    before = W.partitionBy(*keys).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        steps.groupBy(*keys, "__stretch")
+        .agg(F.sum("__delta").alias("__sum"))
+        .withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+        .drop("__sum")
     )
+    running = W.partitionBy(*keys, "__stretch").orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
     counted = (
-        steps.withColumns({"__at": F.col("__step.at"), "__delta": F.col("__step.delta")})
-        .drop("__step")
-        .withColumn("ring_cards", F.sum("__delta").over(running))
+        steps.join(starts, [*keys, "__stretch"])
+        .withColumn("ring_cards", F.col("__start") + F.sum("__delta").over(running))
         .filter((F.col("__delta") == 1) & (F.col("ring_cards") >= cards))
-        .drop("__at", "__delta", "__leaves")
+        .select(*txns.columns, "__us", "__slice", "__own", "ring_cards")
     )
     return _own(counted)
