@@ -39,10 +39,10 @@ def policy_table(
             "prohibited": _rules(c.not_allowed_use),
             "columns": {
                 col.name: {
-                    "prohibited": _rules(col.not_allowed_use),
-                    "allowed": [text.use_label(use) for use in col.allowed_use],
+                    "prohibited": _rules(col.metadata.get("not_allowed_use", ())),
+                    "allowed": [text.use_label(use) for use in col.metadata.get("allowed_use", ())],
                 }
-                for col in c.columns
+                for col in c.schema
             },
         }
         for c in contracts.values()

@@ -52,7 +52,7 @@ def search_products(spark: SparkSession, query: str, limit: int | None = None) -
             "product": c.product,
             "body": " ".join(
                 [
-                    c.product.replace("_", " "), c.domain, c.description, *c.column_names,
+                    c.product.replace("_", " "), c.domain, c.description, *c.schema.names,
                     *[m.name for m in metrics_of(c.product)], *c.allowed_use,
                 ]
             ),

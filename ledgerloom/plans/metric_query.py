@@ -169,13 +169,14 @@ def metrics_named(phrase: str, product: str | None = None) -> list[Metric]:
 def _predicate(contract: Contract, request: MetricRequest, notes: list[str]) -> Column | None:
     tests: list[Column] = []
     for f in request.filters:
-        column = contract.column(f.column)
-        if column is None:
+        facts = contract.facts(f.column)
+        if facts is None:
             raise RequestRefused("UNKNOWN_COLUMN", f"{contract.product} has no column '{f.column}'")
         if f.op not in COMPARISONS:
             raise RequestRefused("UNKNOWN_OPERATOR", f"'{f.op}' is not a supported comparison")
-        if column.enum and f.op == "=" and f.value not in column.enum:
-            raise RequestRefused("VALUE_NOT_IN_ENUM", f"'{f.value}' is not one of {', '.join(column.enum)}")
+        enum = facts.get("enum")
+        if enum and f.op == "=" and f.value not in enum:
+            raise RequestRefused("VALUE_NOT_IN_ENUM", f"'{f.value}' is not one of {', '.join(enum)}")
         tests.append(COMPARISONS[f.op](F.col(f.column), F.lit(f.value)))
     if request.window is not None:
         if contract.time_column is None:
@@ -222,7 +223,7 @@ def plan(request: MetricRequest) -> MetricPlan:
     contract = catalog.contract(request.product)
     notes: list[str] = []
     for name in request.dimensions:
-        if contract.column(name) is None:
+        if contract.facts(name) is None:
             raise RequestRefused("UNKNOWN_COLUMN", f"{contract.product} has no column '{name}'")
         if name in request.forbidden_dimensions:
             raise RequestRefused("DIMENSION_FORBIDDEN", f"grouping or ranking by '{name}' is not permitted")

@@ -164,7 +164,7 @@ def contract_problems(
         if df is None:
             static.append({"product": name, "problem": "gold table missing", "rows": 1})
             continue
-        published, declared = set(df.columns), set(contract.column_names)
+        published, declared = set(df.columns), set(contract.schema.names)
         keys = [k for k in contract.primary_key if k in published]
         found = [f"declared column not published: {c}" for c in sorted(declared - published)]
         found += [f"published column not declared: {c}" for c in sorted(published - declared)]

@@ -265,11 +265,11 @@ def _policy_values() -> str:
     rows = []
     for c in catalog.CONTRACTS.values():
         for name in REQUEST_COLUMNS.values():
-            column = c.column(name)
+            facts = c.facts(name)
             rows.append(
-                f"('{c.product}', '{name}', {column is not None}, {list(c.not_allowed_use)}, "
-                f"{list(column.not_allowed_use) if column else []}::VARCHAR[], "
-                f"{list(column.allowed_use) if column else []}::VARCHAR[])"
+                f"('{c.product}', '{name}', {facts is not None}, {list(c.not_allowed_use)}, "
+                f"{list((facts or {}).get('not_allowed_use', ()))}::VARCHAR[], "
+                f"{list((facts or {}).get('allowed_use', ()))}::VARCHAR[])"
             )
     return "(VALUES " + ", ".join(rows) + ") AS p(product, \"column\", known, product_rules, column_rules, allow_list)"
 
