@@ -82,16 +82,31 @@ def _registry(metrics: Sequence[Metric]) -> Column:
     )
 
 
+def _contained(needle: Column, entry: Column) -> Column:
+    return F.contains(needle, entry["name"]) | F.exists(entry["synonyms"], lambda s: F.contains(needle, s))
+
+
+def _matched_on(needle: Column, words: Column, entry: Column) -> Column:
+    """What a score rests on, for readers; the words of a definition in order, at most three named."""
+    common = F.array_sort(F.array_intersect(words, entry["words"]))
+    return (
+        F.when(needle == entry["name"], "name")
+        .when(F.array_contains(entry["synonyms"], needle), "synonym")
+        .when(_contained(needle, entry), "phrase_contains")
+        .when(F.array_contains(words, entry["first"]), "name_token")
+        .otherwise(F.concat(F.lit("definition:"), F.array_join(F.slice(common, 1, 3), ",")))
+    )
+
+
 def _score(needle: Column, words: Column, entry: Column) -> Column:
     common = F.size(F.array_intersect(words, entry["words"]))
     overlap = OVERLAP_WEIGHT * (common / F.greatest(F.size(words), F.lit(1))) + F.least(
         F.lit(TOKEN_CAP), TOKEN_WEIGHT * common
     )
-    contains = F.contains(needle, entry["name"]) | F.exists(entry["synonyms"], lambda s: F.contains(needle, s))
     return (
         F.when(needle == entry["name"], EXACT)
         .when(F.array_contains(entry["synonyms"], needle), SYNONYM)
-        .when(contains, PHRASE)
+        .when(_contained(needle, entry), PHRASE)
         .when(F.array_contains(words, entry["first"]), NAME_TOKEN)
         .otherwise(F.when(common > 0, F.round(overlap, 4)).otherwise(0.0))
     )
@@ -108,7 +123,10 @@ def resolve_terms(terms: DataFrame, term: str, *, product: str | None = None) ->
     scored = F.transform(
         _registry(metrics),
         lambda e: F.struct(
-            (-_score(needle, words, e)).alias("rank"), e["metric"].alias("metric"), e["ref"].alias("ref")
+            (-_score(needle, words, e)).alias("rank"),
+            e["metric"].alias("metric"),
+            e["ref"].alias("ref"),
+            _matched_on(needle, words, e).alias("matched_on"),
         ),
     )
     best = F.array_sort(F.filter(scored, lambda c: c["rank"] <= -MIN_MATCH_SCORE))
@@ -127,7 +145,9 @@ def resolve_terms(terms: DataFrame, term: str, *, product: str | None = None) ->
             "candidates",
             F.transform(
                 top,
-                lambda c: F.struct(c["metric"].alias("metric"), c["ref"].alias("ref"), (-c["rank"]).alias("score")),
+                lambda c: F.struct(
+                    c["metric"].alias("metric"), c["ref"].alias("ref"), (-c["rank"]).alias("score"), c["matched_on"].alias("matched_on")
+                ),
             ),
         )
         .drop("__needle", "__words")

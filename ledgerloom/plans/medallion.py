@@ -155,7 +155,7 @@ def publish_all(zones: Zones, ctx: RunContext, *, enforce: bool = True, waiting:
     )
     results = zones.read("ops.dq_results")
     states = [
-        publish.product_state(c.product, tables[c.dataset], c.freshness_hours)
+        publish.product_state(c.product, tables[c.dataset], c.freshness_hours, c.sla_availability)
         for c in catalog.CONTRACTS.values()
         if c.dataset in tables
     ]

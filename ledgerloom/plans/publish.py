@@ -15,7 +15,7 @@ from ledgerloom.session import fixed_rows
 
 
 # -- SLA ---------------------------------------------------------------------
-def product_state(product: str, df: DataFrame, sla_hours: int) -> DataFrame:
+def product_state(product: str, df: DataFrame, sla_hours: int, availability: float = 0.995) -> DataFrame:
     """Rows and newest update of one product table, in one aggregate."""
     newest = F.max("_gold_updated_at") if "_gold_updated_at" in df.columns else F.lit(None)
     return df.agg(F.count(F.lit(1)).alias("row_count"), newest.cast("timestamp_ntz").alias("last_updated")).select(
@@ -23,6 +23,7 @@ def product_state(product: str, df: DataFrame, sla_hours: int) -> DataFrame:
         F.lit(f"gold.{product}").alias("dataset"),
         "row_count",
         F.lit(sla_hours).cast("long").alias("sla_freshness_hours"),
+        F.lit(availability).alias("sla_availability"),
         "last_updated",
     )
 
@@ -55,7 +56,7 @@ def sla_status(states: Sequence[DataFrame], dq_results: DataFrame, ctx: RunConte
                 F.coalesce(name, zero).alias(name)
                 for name in ("dq_rules", "dq_passed", "dq_critical_failures", "dq_warning_failures")
             ],
-            F.lit(0.995).alias("sla_availability"),
+            "sla_availability",
             F.when((F.coalesce("dq_critical_failures", zero) == 0) & fresh, "OK").otherwise("DEGRADED").alias("status"),
             ctx.stamp.alias("last_successful_run"),
         )

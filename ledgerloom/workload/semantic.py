@@ -406,6 +406,11 @@ _STOP = ", ".join(f"'{w}'" for w in text.TERM_STOPWORDS)
          common AS (SELECT *, len(list_intersect(tokens, words)) AS n FROM tokens, {_registry_values()}),
          scored AS (
             SELECT conv_id, turn, metric, ref,
+                   CASE WHEN needle = name THEN 'name' WHEN list_contains(synonyms, needle) THEN 'synonym'
+                        WHEN contains(needle, name) OR len([s FOR s IN synonyms IF contains(needle, s)]) > 0
+                             THEN 'phrase_contains'
+                        WHEN list_contains(tokens, first) THEN 'name_token'
+                        ELSE 'definition:' || array_to_string(list_sort(list_intersect(tokens, words))[1:3], ',') END AS matched_on,
                    CASE WHEN needle = name THEN 1.0::DOUBLE WHEN list_contains(synonyms, needle) THEN 0.95::DOUBLE
                         WHEN contains(needle, name) OR len([s FOR s IN synonyms IF contains(needle, s)]) > 0
                              THEN 0.85::DOUBLE
@@ -419,16 +424,22 @@ _STOP = ", ".join(f"'{w}'" for w in text.TERM_STOPWORDS)
             FROM scored WHERE score >= 0.45),
          best AS (
             SELECT conv_id, turn, count(*) AS candidates, max(ref) FILTER (place = 1) AS top_ref,
+                   max(matched_on) FILTER (place = 1) AS matched_on,
                    max(score) FILTER (place = 1) AS first_score, max(score) FILTER (place = 2) AS second_score
             FROM ranked GROUP BY 1, 2)
          SELECT conv_id, turn, CAST(coalesce(candidates, 0) AS INTEGER) AS candidates,
                 CASE WHEN candidates IS NULL THEN 'unresolved'
                      WHEN first_score - second_score <= 0.12::DOUBLE THEN 'ambiguous' ELSE 'resolved' END AS status,
-                CASE WHEN candidates = 1 OR first_score - second_score > 0.12::DOUBLE THEN top_ref END AS resolved_ref
+                CASE WHEN candidates = 1 OR first_score - second_score > 0.12::DOUBLE THEN top_ref END AS resolved_ref,
+                first_score AS best_score, matched_on
          FROM terms LEFT JOIN best USING (conv_id, turn)""",
 )
 def _(t):
     resolved = search.resolve_terms(t["conversations"].select("conv_id", "turn", "text"), "text")
-    return resolved.select("conv_id", "turn", F.size("candidates").alias("candidates"), "status", "resolved_ref")
+    best = F.get("candidates", F.lit(0))
+    return resolved.select(
+        "conv_id", "turn", F.size("candidates").alias("candidates"), "status", "resolved_ref",
+        best["score"].alias("best_score"), best["matched_on"].alias("matched_on"),
+    )
 
 

@@ -263,7 +263,8 @@ def _(t):
 # -- SLA and catalogue ------------------------------------------------------------
 def _sla(t) -> DataFrame:
     states = [
-        publish.product_state(name, df, catalog.CONTRACTS[name].freshness_hours) for name, df in _products(t).items()
+        publish.product_state(name, df, catalog.CONTRACTS[name].freshness_hours, catalog.CONTRACTS[name].sla_availability)
+        for name, df in _products(t).items()
     ]
     return publish.sla_status(states, _published_results(t), t.ctx)
 
@@ -273,7 +274,7 @@ SLA_SQL = f"""
            '2024-01-30 00:00:00.000000' AS last_updated, CAST(0 AS DOUBLE) AS age_hours, TRUE AS freshness_ok,
            coalesce(dq_rules, 0) AS dq_rules, coalesce(dq_passed, 0) AS dq_passed,
            coalesce(critical, 0) AS dq_critical_failures, coalesce(warnings, 0) AS dq_warning_failures,
-           CAST(0.995 AS DOUBLE) AS sla_availability,
+           CAST(CASE product WHEN 'transaction' THEN 0.999 ELSE 0.995 END AS DOUBLE) AS sla_availability,
            CASE WHEN coalesce(critical, 0) = 0 THEN 'OK' ELSE 'DEGRADED' END AS status,
            '2024-01-30 00:00:00.000000' AS last_successful_run
     FROM (SELECT 'customer_360' AS product, 6 AS hours, count(*) AS row_count FROM customer_360
