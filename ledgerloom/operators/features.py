@@ -42,10 +42,20 @@ def sliding_activity(
     length: str = "7 days",
     slide: str = "1 day",
 ) -> DataFrame:
-    """Trailing count and sum per key, one row for every slide of the window."""
+    """Trailing count and sum per key, one row for every slide of the window.
+
+    A finished table is first folded to one row per key and slide, so that only those few
+    rows, not every event, are copied to all windows they lie in. A slide begins inside
+    the same windows as its events when the length is a multiple of the slide.
+    """
+    n, total = F.count(F.lit(1)), F.sum(amount)
+    if not events.isStreaming:
+        step = F.window(F.col(ts), slide)
+        events = events.groupBy(step, key).agg(n.alias("__n"), total.alias("__total")).withColumn(ts, F.col("window.start"))
+        events, n, total = events.drop("window"), F.sum("__n"), F.sum("__total")
     return (
         events.groupBy(F.window(F.col(ts), length, slide), key)
-        .agg(F.count(F.lit(1)).alias("txn_count"), F.sum(amount).alias("txn_amount"))
+        .agg(n.alias("txn_count"), total.alias("txn_amount"))
         .select(
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),

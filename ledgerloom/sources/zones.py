@@ -57,6 +57,10 @@ class Zones:
         found = [entry.getPath().toString() for entry in fs.listStatus(location) if entry.isDirectory()]
         return sorted(path for path in found if self.has_files(path))
 
+    def drop_folder(self, path: str) -> None:
+        fs, location = self._fs(path)
+        fs.delete(location, True)
+
     def file_states(self) -> list[tuple[str, int, int]]:
         """Path, size and time of every file below the root."""
         fs, location = self._fs(self.root)

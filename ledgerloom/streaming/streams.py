@@ -10,12 +10,7 @@ from pyspark.sql.types import StructType
 
 from ledgerloom.operators import conform, features, monitoring
 from ledgerloom.session import scratch_path
-
-RELIABLE_STATE = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
-}
+from ledgerloom.sources.zones import Zones
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -98,6 +93,33 @@ def export_features(stream: DataFrame, path: str, checkpoint: str, key: str = "c
     )
 
 
+def _log_parts(spark: SparkSession, path: str) -> tuple[int, dict[str, int], set[str]]:
+    """The newest complete snapshot (or -1), the folders to read, and all folders by batch id."""
+    zones = Zones(spark, path)
+    numbered = {folder: int(folder.rsplit("=", 1)[1]) for folder in zones.folders() if "=" in folder.rsplit("/", 1)[1]}
+    whole = {f: n for f, n in numbered.items() if "/snapshot=" in f and zones.folder_exists(f"{f}/_SUCCESS")}
+    newest = max(whole.values(), default=-1)
+    current = {f for f, n in whole.items() if n == newest} | {f for f, n in numbered.items() if "/batch=" in f and n > newest}
+    return newest, numbered, current
+
+
 def read_features(spark: SparkSession, path: str, key: str = "customer_id") -> DataFrame:
-    log = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
-    return features.latest_per_key(log, [key, "feature_name"], ["updated_at", "value"])
+    """Newest value of every feature: the last snapshot and the batches after it."""
+    _, _, parts = _log_parts(spark, path)
+    return features.latest_per_key(spark.read.parquet(*sorted(parts)), [key, "feature_name"], ["updated_at", "value"])
+
+
+def compact_features(spark: SparkSession, path: str, key: str = "customer_id") -> None:
+    """Fold the log into one snapshot and drop what it replaces; run it between exports.
+
+    The snapshot counts only once it is complete, so a failed compaction changes nothing.
+    """
+    newest, numbered, _ = _log_parts(spark, path)
+    last = max(numbered.values(), default=-1)
+    if last <= newest:
+        return
+    read_features(spark, path, key).write.mode("overwrite").parquet(f"{path}/snapshot={last}")
+    zones = Zones(spark, path)
+    for folder, n in numbered.items():
+        if ("/batch=" in folder and n <= last) or ("/snapshot=" in folder and n < last):
+            zones.drop_folder(folder)

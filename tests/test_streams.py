@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.zones import Zones
 from ledgerloom.operators import conform, features, monitoring
 from ledgerloom.streaming import streams
 from ledgerloom.workload.tables import Tables
@@ -80,4 +81,9 @@ def test_feature_log_keeps_the_newest_value(spark, scratch):
         spark.createDataFrame([("C1", "f", value, START + timedelta(days=i))], shape).write.mode("append").parquet(f"{scratch}/in")
         stream = spark.readStream.schema(shape).parquet(f"{scratch}/in")
         streams.export_features(stream, f"{scratch}/log", f"{scratch}/offsets")
-    assert rows(streams.read_features(spark, f"{scratch}/log"), "customer_id", "value") == [("C1", 2.0)]
+        assert rows(streams.read_features(spark, f"{scratch}/log"), "customer_id", "value") == [("C1", value)]
+        streams.compact_features(spark, f"{scratch}/log")
+        assert rows(streams.read_features(spark, f"{scratch}/log"), "customer_id", "value") == [("C1", value)]
+    streams.compact_features(spark, f"{scratch}/log")
+    kept = sorted(f.rsplit("/", 1)[1] for f in Zones(spark, f"{scratch}/log").folders())
+    assert kept == ["snapshot=1"]
