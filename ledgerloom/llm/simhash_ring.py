@@ -19,7 +19,7 @@ class. A null id never becomes a class id unless the class has nothing else (the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,8 +179,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ring: Ring
     return prints.join(by_vertex, "v").select(key, F.col("fps")[0].alias("fp"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", ring: Ring = Ring()) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    ring: Ring = Ring(),
+    classify: Callable[[DataFrame, str, str], DataFrame] | None = None,
+) -> DataFrame:
     """One row of each class stays: the one with the smallest key (of repeated keys, the one with the smallest text hash).
+    ``classify`` gives other classes than those of ``ring``.
 
     Survivors are found on narrow rows. Texts move once, on (key, text hash), which has no hot values, and repeated
     rows are dropped in the same partitioning.
@@ -189,7 +196,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     name = F.coalesce(docs[key].cast("string"), F.lit("")).alias("k")
     tagged = docs.select(whole, name, F.xxhash64(docs[text]).alias("h"), docs[key].isNull().alias("lone"))
     row = F.struct("lone", F.col("doc")[key].alias("id"), "k", "h").alias("row")
-    placed = classes(tagged.select(row, F.col("doc")[text].alias("text")), "row", "text", ring)
+    picked = tagged.select(row, F.col("doc")[text].alias("text"))
+    placed = classify(picked, "row", "text") if classify else classes(picked, "row", "text", ring)
     stay = placed.select("component_id.k", "component_id.h").distinct()
     kept = tagged.join(stay, ["k", "h"], "left_semi")
     first = F.row_number().over(Window.partitionBy("k", "h").orderBy("lone"))
