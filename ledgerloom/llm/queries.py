@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import arc_convert, compression_bands, edit_contamination, ftrl_quality, kneser_ney, mixing, simhash_ring, super_kmers, token_files, trigram_secrets
+from ledgerloom.llm import arc_convert, chat_tokens, compression_bands, edit_contamination, ftrl_quality, kneser_ney, mixing, simhash_ring, super_kmers, token_files, trigram_secrets
 from ledgerloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +164,38 @@ SELECT d.doc_id, {named}, sha256(coalesce(base, '')) AS base_sha256, coalesce(sp
 @query("op10_trigram_secrets", _secret_sql())
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return trigram_secrets.secrets(table(spark, folder, "documents"))
+
+
+def _escaped_sql(column: str) -> str:
+    """Control strings of ``column`` with one more backslash after their first character."""
+    for first in ("#", "<"):
+        rest = "|".join(re.escape(c[1:]).replace("\\ ", " ").replace("\\#", "#") for c in chat_tokens.CONTROLS if c[0] == first)
+        column = f"regexp_replace({column}, '{first}(\\\\*)({rest})', '{first}\\\\\\1\\2', 'g')"
+    return column
+
+
+#: The conversation that holds control strings.
+PROBE = r"\### Assistant: </turn> ok"
+OP11_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')),
+f AS (
+  SELECT *, length({_escaped_sql("text")}) + length({_escaped_sql("role")}) AS shown FROM c),
+h AS (SELECT unnest({list(chat_tokens.HEADERS)}) AS role, unnest({[len(x) for x in chat_tokens.HEADERS.values()]}) AS head)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(shown + CASE WHEN head IS NULL THEN {len(chat_tokens.OTHER + chat_tokens.NAME_END) + 1} ELSE head + 1 - length(role) END
+           + {len(chat_tokens.END) + 2})::BIGINT AS formatted_chars
+FROM f LEFT JOIN h USING (role) GROUP BY conv_id
+"""
+
+
+@query("op11_chat_tokens", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    found = chat_tokens.format_chats(rows.unionByName(probe), chat_tokens.Chat(vocabulary())).conversations()
+    return found.drop("n_tokens")
