@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import arc_convert, chat_tokens, compression_bands, edit_contamination, ftrl_quality, kneser_ney, mixing, multi_index_negatives, simhash_ring, super_kmers, token_files, trigram_secrets
+from ledgerloom.llm import arc_convert, chat_tokens, compression_bands, edit_contamination, ftrl_quality, kneser_ney, mixing, multi_index_negatives, simhash_ring, spelling_variants, super_kmers, token_files, trigram_secrets
 from ledgerloom.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,3 +225,41 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return multi_index_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
+OP13_SQL = """
+WITH RECURSIVE t AS (  -- the table of CRC-32
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents)
+  GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+           lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS h
+  FROM b, t),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN w b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM d a JOIN w b ON a.d = b.word),
+f AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM e GROUP BY word),
+m AS (SELECT word, n_near, top, min(near) AS best FROM f JOIN e USING (word) WHERE near_n = top GROUP BY ALL),
+g AS (
+  SELECT word, CASE WHEN top >= 10 * n THEN best END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * n THEN top END AS form_n
+  FROM w LEFT JOIN m USING (word)),
+u AS (SELECT word, word AS root FROM g UNION ALL SELECT u.word, g.form FROM u JOIN g ON g.word = u.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, u.root, g.n, g.n_near, g.form_n FROM g JOIN u USING (word) JOIN g AS l ON l.word = u.root WHERE l.form IS NULL
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, folder, "documents"), spelling_variants.Spelling(damage=31))
