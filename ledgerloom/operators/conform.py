@@ -53,11 +53,16 @@ def _finish(df: DataFrame, ctx: RunContext | None) -> DataFrame:
 
 def silver_customers(crm: DataFrame, ctx: RunContext, *, collapse: bool = True) -> DataFrame:
     """Versioned customers; direct identifiers replaced by tokens, birth date by a band."""
-    crm = with_optional(crm, OPTIONAL_COLUMNS)
     ties = [c for c in ("_ingested_at", "_source_file") if c in crm.columns]
     versions = version_history(
-        crm, "customer_id", "_batch_id", TRACKED_CUSTOMER_ATTRIBUTES, collapse=collapse, tie_break=ties
+        with_optional(crm, OPTIONAL_COLUMNS), "customer_id", "_batch_id", TRACKED_CUSTOMER_ATTRIBUTES, collapse=collapse, tie_break=ties
     )
+    return customer_versions(versions, ctx)
+
+
+def customer_versions(versions: DataFrame, ctx: RunContext) -> DataFrame:
+    """Versions of raw CRM rows in the silver vocabulary."""
+    versions = with_optional(versions, OPTIONAL_COLUMNS)
     tokens = [
         text.pseudonym(F.col("customer_id"), kind).alias(f"{kind.lower()}_token") for kind in text.TOKEN_KINDS
     ]
