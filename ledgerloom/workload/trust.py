@@ -12,6 +12,8 @@ from ledgerloom.operators import graph, quality, search
 from ledgerloom.operators.quality import WARNING, Rule
 from ledgerloom.plans import catalog, publish
 from ledgerloom.plans.rules import PUBLISHED_RULES
+from ledgerloom.session import scratch_path
+from ledgerloom.sources.zones import Zones
 from ledgerloom.workload.registry import Published, query
 from ledgerloom.workload.tables import coded
 from ledgerloom.workload.views_sql import AS_OF
@@ -226,6 +228,18 @@ def _(t):
     return _evaluated(t).select(*SHOWN)
 
 
+@query("dq_merged_states", ALL_RULES_SQL)
+def _(t):
+    # Three disjoint batches of rows, each scanned by itself; what is judged are their stored states.
+    tables, zones = _published_tables(t), Zones(t.spark, scratch_path(t.spark, "rule-states"))
+    for k in range(3):
+        batch = {name: df.where(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == k) for name, df in tables.items()}
+        states = quality.rule_states(PUBLISHED_RULES, batch).withColumn("batch", F.lit(str(k)))
+        zones.write("ops.rule_states", states, partition_by=("batch",), only_these_partitions=True)
+    stored = quality.merged_states(zones.read("ops.rule_states"))
+    return quality.verdict(t.spark, PUBLISHED_RULES, stored, tables).select(*SHOWN)
+
+
 @query(
     "dq_summary",
     f"""SELECT count(*) AS total, count(*) FILTER (status = 'PASS') AS passed,
