@@ -14,17 +14,19 @@ from ledgerloom.operators.policy import check_use
 from ledgerloom.operators.quality import evaluate as evaluate_rules
 from ledgerloom.operators.search import resolve_terms, search_products
 from ledgerloom.plans import metric_query as _metrics
-from ledgerloom.plans.medallion import build_gold, build_silver, ingest_bronze, run
+from ledgerloom.plans.increment import LaidOut, run_increment
+from ledgerloom.plans.medallion import build_gold, build_silver, ingest_bronze, run, run_release
 from ledgerloom.plans.medallion import publish_all as publish
 from ledgerloom.plans.metric_query import Filter, MetricRequest, TimeWindow, metric_query, preview
 from ledgerloom.plans.publish import list_products, quality_summary
 from ledgerloom.sources.manifest import fingerprint
+from ledgerloom.sources.releases import Releases
 from ledgerloom.sources.zones import Zones
 
 __all__ = [
-    "Filter", "MetricRequest", "TimeWindow", "append_answers", "ask", "build_gold", "build_silver", "check_use",
+    "Filter", "LaidOut", "MetricRequest", "Releases", "TimeWindow", "append_answers", "ask", "build_gold", "build_silver", "check_use",
     "downstream_of", "evaluate_rules", "fingerprint", "gate", "ingest_bronze", "latest_answer", "lineage_of",
-    "list_products", "metric_query", "preview", "publish", "quality_summary", "recent_answers", "resolve_terms", "run",
+    "list_products", "metric_query", "preview", "publish", "quality_summary", "recent_answers", "resolve_terms", "run", "run_increment", "run_release",
     "score_cases", "search_products", "sla", "trace_lineage", "upstream_of", "upstream_sources",
 ]
 

@@ -13,6 +13,7 @@ from ledgerloom.operators import conform, products, quality
 from ledgerloom.plans import catalog, publish
 from ledgerloom.plans.rules import PUBLISHED_RULES
 from ledgerloom.sources import ingest
+from ledgerloom.sources.releases import Release, Releases
 from ledgerloom.sources.zones import Zones
 
 Tables = Mapping[str, DataFrame]
@@ -207,3 +208,16 @@ def run(
         counts |= publish_all(zones, ctx, enforce=enforce, waiting=waiting if "gold" in stages else None)
     record_runs(zones, ctx, counts)
     return counts
+
+
+def run_release(releases: Releases, ctx: RunContext, landing: str, *, enforce: bool = True) -> tuple[Release, dict[str, int]]:
+    """A whole run in a folder of its own, which becomes the release that readers see only when all of it is there.
+
+    A run that fails, or ends between any two steps, leaves the release before it untouched. SQL names are moved to the
+    new release afterwards; they follow the pointer again whenever ``current().register_all()`` is called.
+    """
+    since, draft = releases.latest(), releases.draft()
+    counts = run(draft, ctx, landing, enforce=enforce)
+    release = releases.commit(draft, ctx.job_run_id, since)
+    releases.current().register_all()
+    return release, counts
