@@ -10,8 +10,13 @@ Scale: the test items are the stated query set. They are searched in blocks of b
 documents for each block); only a block's items travel to the tasks. Documents are never shuffled: the search is a
 narrow stage, and dropping contaminated documents happens within it.
 
-Nulls and empty texts match nothing. Items below ``min_chars`` normalised characters are too short to identify a
-leak and match nothing. Repeated items and rows are reported each.
+Items below ``min_chars`` normalised characters have no room for edits: they are one piece, and occur where that piece
+stands between word boundaries (no letter or digit beside it).
+
+Nulls and empty texts match nothing, nor do items that are empty once normalised. Repeated items and rows are reported
+each. Very long texts are searched whole, in one pass. Of stretches with equal distance the first counts. Without items,
+or without documents, there is no match. Other columns of the documents are carried by ``drop_contaminated`` whatever
+their names, and not read by ``matches``.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ class Search:
     block_chars: int = 8_000_000
 
 
+#: The budget of an item too short for edits: whole words only.
+EXACT = -1
+
+
 def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -74,9 +83,9 @@ class Finder:
         self.items = []
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for key, body in items:
-            if len(body) >= search.min_chars:
-                budget = int(search.error_rate * len(body))
-                for start, piece in pieces(body, budget):
+            if body:
+                budget = int(search.error_rate * len(body)) if len(body) >= search.min_chars else EXACT
+                for start, piece in pieces(body, max(budget, 0)):
                     where[piece].append((len(self.items), start))
                 self.items.append((key, body, budget))
         self.automaton = ahocorasick.Automaton()
@@ -95,6 +104,12 @@ class Finder:
                 diagonals[index].add(end + 1 - size - start)
         for index, starts in diagonals.items():
             _, body, budget = self.items[index]
+            if budget == EXACT:
+                ends = (a + len(body) for a in sorted(starts))
+                whole = (b for b in ends if not text[max(0, b - len(body) - 1) : b - len(body)].isalnum() and not text[b : b + 1].isalnum())
+                if (end := next(whole, None)) is not None:
+                    yield index, 0, end
+                continue
             best, ordered = None, sorted(starts)
             first = last = ordered[0]
             for start in [*ordered[1:], None]:

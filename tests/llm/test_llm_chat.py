@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import chat_tokens
 from ledgerloom.llm.common import ship
 from ledgerloom.llm.queries import vocabulary
-from tests.llm.helpers import clashing
+from helpers import clashing
 
 ROWS = "conv_id long, turn long, role string, text string"
 PARTS = ["\\", "###", "# ", "### User:", "### Assistant:", "## Role:", "</turn>", "<", "/turn>", "</role>", "<|endoftext|>", "é", "\n", " ok", "日本"]

@@ -71,3 +71,12 @@ def test_blocks_and_empty_tables(spark):
     assert [r.doc_id for r in drop_contaminated(docs, bench, search=small).collect()] == [50]
     assert matches(documents(spark, []), bench).count() == 0
     assert matches(docs, bench.limit(0)).count() == 0 and drop_contaminated(docs, bench.limit(0)).count() == 10
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "What is the capital of France?"), (2, "no"), (3, ""), (4, None), (5, "C++")]
+    rows = [(1, "Tell me: what  is the capital of FRANCE? Paris."), (2, "nothing known, noon"), (3, "say no."), (4, "in c++ code"), (5, None), (6, "whatis the capital of france?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in matches(documents(spark, rows), bench).collect())
+    assert got == [(1, 1, 0), (3, 2, 0), (4, 5, 0)]
+    assert sorted(r["doc_id"] for r in drop_contaminated(documents(spark, rows), bench).collect()) == [2, 5, 6]

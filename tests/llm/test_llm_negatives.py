@@ -8,7 +8,7 @@ import pytest
 
 from ledgerloom.llm import multi_index_negatives as mn
 from ledgerloom.llm.common import ship
-from tests.llm.helpers import clashing
+from helpers import clashing
 
 ROWS = "vec_id long, embedding array<float>, label int"
 
