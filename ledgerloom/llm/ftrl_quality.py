@@ -4,12 +4,14 @@ Tokens are words and runs of punctuation, ASCII lower-cased. Features are hashed
 three-word window that occurred before in the text; each occurrence weighs ``1 / sqrt(tokens)``. A score is the
 logistic of a sparse dot product, computed in a narrow stage over whole texts.
 
-Training: a bounded sample of labelled rows (``sample`` rows in hash order, texts up to ``sample_chars``), whose
-features are computed in parallel; per-coordinate FTRL-proximal updates are sequential by nature and run over that
-bounded sample in one task. The result is one array of ``2**bits`` weights.
-
-A null or empty text has no features and gets the score of the bias. Without labels every score is 0.5. Labels other
-than 0 and 1 are ignored; of repeated labels of a document the smallest counts.
+Training: a bounded sample of labelled documents (``sample`` ids in hash order), chosen by their ids alone; their whole
+texts, of any length, become sparse feature vectors in parallel. Per-coordinate FTRL-proximal updates are sequential by
+nature and run over these vectors in one task. The result is one array of ``2**bits`` weights.
+
+A null or empty text has no features and gets the score of the bias. Without labels every score is 0.5, and without
+documents there is no row. Labels other than 0 and 1 are ignored; of repeated labels of a document the smallest counts,
+and of rows that repeat a labelled id the first by text hash trains. Very long texts train and are scored whole. Equal
+scores are equal; nothing is ranked. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import re
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ASCII_LOWER, held_out, raw, store, values
@@ -31,7 +33,6 @@ from ledgerloom.llm.super_kmers import WordHash, mixed
 class Ftrl:
     bits: int = 18
     sample: int = 12_000
-    sample_chars: int = 50_000
     epochs: int = 4
     alpha: float = 0.15
     beta: float = 1.0
@@ -102,9 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     usable = labels.where(labels[label].isin(0, 1) & labels[key].isNotNull() & ~held_out(labels[key]))
     one = usable.groupBy(usable[key].alias("id")).agg(F.min(label).cast("int").alias("label"))
     chosen = store(one.orderBy(F.xxhash64("id"), "id").limit(shape.sample), "ftrl-labels")
-    short = docs.where(F.length(docs[text]) <= shape.sample_chars).select(docs[key].alias("id"), docs[text].alias("text"))
-    met = short.join(F.broadcast(chosen), "id")  # at most ``sample`` rows
-    met = met.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(shape.sample)  # an id may be repeated
+    texts = docs.select(docs[key].alias("id"), docs[text].alias("text"))
+    met = texts.join(F.broadcast(chosen), "id")  # at most ``sample`` labels
+    # One row per id: Spark limits each group before the exchange, so a repeated id does not travel with all its rows.
+    first = Window.partitionBy("id").orderBy(F.xxhash64("text"))
+    met = met.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").withColumn("place", F.xxhash64("id"))
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -113,23 +116,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             order = np.argsort(owner, kind="stable")
             per = np.split(index[order], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
             out = []
-            for (_, mark), own, size, repeats in zip(rows, per, lengths.tolist(), again.tolist()):
+            for (place, mark), own, size, repeats in zip(rows, per, lengths.tolist(), again.tolist()):
                 i, times = np.unique(own, return_counts=True)
                 i = np.concatenate(([BIAS, AGAIN], i)).astype(np.int32)
                 x = np.concatenate(([1.0], np.concatenate(([repeats], times)) / max(1, size) ** 0.5)).astype(np.float32)
-                out.append((mark, i.tobytes(), x.tobytes()))
-            arrays = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["label", "i", "x"])
+                out.append((place, mark, i.tobytes(), x.tobytes()))
+            arrays = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["place", "label", "i", "x"])
 
     def learnt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
         for batch in batches:
-            for mark, i, x in zip(*(values(batch, c) for c in ("label", "i", "x"))):
-                examples.append((mark, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32).astype(float)))
+            for place, mark, i, x in zip(*(values(batch, c) for c in ("place", "label", "i", "x"))):
+                examples.append((place, mark, i, x))
         if examples:
+            examples.sort()  # the order of training does not depend on the partitions
+            examples = [(mark, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32).astype(float)) for _, mark, i, x in examples]
             yield pa.RecordBatch.from_arrays([pa.array([train(examples, shape).astype("<f8").tobytes()])], ["w"])
 
-    sample = store(met.select("id", "label", "text").mapInArrow(featured, "label int, i binary, x binary"), "ftrl-sample")
+    shaped = met.select("place", "label", "text").mapInArrow(featured, "place long, label int, i binary, x binary")
+    sample = store(shaped, "ftrl-sample")
     found = sample.coalesce(1).mapInArrow(learnt, "w binary").collect()
     return np.frombuffer(found[0]["w"], "<f8") if found else np.zeros(1 << shape.bits)
 

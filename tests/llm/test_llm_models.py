@@ -1,3 +1,5 @@
+import math
+import zlib
 import numpy as np
 from helpers import clashing, documents, edge_rows, prose
 from pyspark.sql import functions as F
@@ -67,3 +69,39 @@ def test_quality_edges(spark):
     assert len(found) == len(edge_rows()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
     assert {r.score for r in ftrl_quality.predict_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert ftrl_quality.predict_quality(documents(spark, []), labels).count() == 0
+
+
+def test_training_equals_a_scalar_version():
+    """FTRL-proximal, one coordinate at a time in dictionaries."""
+    rng = np.random.default_rng(4)
+    shape = ftrl_quality.Ftrl(bits=5, epochs=3)
+    examples = []
+    for _ in range(60):
+        i = np.sort(rng.choice(32, 6, replace=False))
+        examples.append((int(rng.integers(2)), i, rng.random(6)))
+    z, n = {}, {}
+
+    def weight(k):
+        pull = z.get(k, 0.0)
+        if abs(pull) <= shape.l1:
+            return 0.0
+        return ((1 if pull > 0 else -1) * shape.l1 - pull) / ((shape.beta + math.sqrt(n.get(k, 0.0))) / shape.alpha + shape.l2)
+
+    for _ in range(shape.epochs):
+        for label, index, x in examples:
+            w = {k: weight(k) for k in index.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in zip(index.tolist(), x.tolist()))))
+            for k, v in zip(index.tolist(), x.tolist()):
+                g, old = (p - label) * v, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / shape.alpha * w[k]
+                n[k] = old + g * g
+    assert np.allclose(ftrl_quality.train(examples, shape), [weight(k) for k in range(32)], atol=1e-9, rtol=0)
+
+
+def test_very_long_labelled_texts_train(spark):
+    good, bad = "alpha beta gamma " * 15_000, "omega sigma theta " * 15_000
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:80]
+    docs = documents(spark, [(i, good if k % 2 else bad) for k, i in enumerate(ids)] + [(100_000, "alpha beta gamma"), (100_001, "omega sigma theta")])
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    found = {r["doc_id"]: r["score"] for r in ftrl_quality.predict_quality(docs, labels).collect()}
+    assert found[100_000] > 0.5 > found[100_001] and found[ids[1]] > 0.5 > found[ids[0]]
