@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.session import scratch_path
+from ledgerloom.sources.zones import Zones
 
 #: ``bytes.split()`` cuts at exactly these bytes, so words are ``[^\x20\x09-\x0D]+``.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -47,6 +48,14 @@ def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*stored: DataFrame) -> None:
+    """Remove tables of ``store`` that no plan reads any more."""
+    for df in stored:
+        session = df.sparkSession
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            Zones(session, folder).drop_folder(folder)
+
+
 SHIPPED: set[str] = set()
 #: (setting, Spark's default, ours): whole texts are large rows, so batches are kept small; other choices are left alone.
 ARROW = (
