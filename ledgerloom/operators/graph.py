@@ -44,7 +44,8 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
     expanded once, so cycles and diamonds end. Each round is written to the durable
     checkpoint folder: a round only reads earlier rounds from there, and a lost executor
     costs one round. While the frontier is small it is broadcast, so a round is a filter
-    over the edges without moving them; repeated edges are collapsed after that filter.
+    over the edges without moving them; as a semi-join it also passes below the distinct
+    of edges that are derived from facts, to their scans.
     """
     near, far = _sides(direction)
     hops = edges.select(
@@ -57,7 +58,7 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
         level += 1
         near_nodes = F.broadcast(frontier) if size <= SMALL_FRONTIER else frontier
         reached = materialise(
-            hops.join(near_nodes, "node")
+            hops.join(near_nodes, "node", "left_semi")
             .select("node", "dataset", "transform_id")
             .distinct()
             .select("dataset", "transform_id", F.lit(direction).alias("direction"), F.lit(level).alias("level"))
@@ -70,6 +71,43 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
     return found
 
 
+def reach(edges: DataFrame, starts: DataFrame, direction: str = "upstream") -> DataFrame:
+    """``(start, dataset)``: every node reached from each node of ``starts`` (``start``), in one traversal.
+
+    Starts are numbered and 64 of them share one ``bits`` word, so a node carries one row for
+    every 64 starts that reach it, and rows meet on (node, word) with ``bit_or``, map-side first.
+    A round passes on only the bits that are new at a node, so cycles and diamonds end, and each
+    round is written to the durable checkpoint folder. A start is in its own result only if a
+    cycle leads back to it, as in ``trace``. Null starts and repeated starts count once or not
+    at all; without starts or edges there is no row. The result, and so the work, grows with the
+    pairs reached: ask from the side with fewer nodes.
+    """
+    near, far = _sides(direction)
+    hops = materialise(edges.select(F.col(near).alias("node"), F.col(far).alias("dataset")).distinct())
+    known = starts.select("start").where("start IS NOT NULL").distinct()
+    numbered = materialise(known.withColumn("__id", F.monotonically_increasing_id()))
+    asked = numbered.select(
+        "start", F.floor(F.col("__id") / 64).alias("word"), F.expr("shiftleft(1L, CAST(__id % 64 AS INT))").alias("bit")
+    )
+    fresh = asked.groupBy(F.col("start").alias("node"), "word").agg(F.bit_or("bit").alias("bits"))
+    seen = None
+    while seen is None or not fresh.isEmpty():
+        reached = (
+            hops.join(fresh, "node").groupBy(F.col("dataset").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        )
+        if seen is None:
+            fresh = seen = materialise(reached)
+            continue
+        before = seen.withColumnRenamed("bits", "had")
+        missing = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        fresh = materialise(
+            reached.join(before, ["node", "word"], "left").select("node", "word", missing.alias("bits")).where("bits <> 0")
+        )
+        seen = materialise(seen.unionByName(fresh).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    met = seen.join(asked, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return met.select("start", F.col("node").alias("dataset"))
+
+
 def roots(traced: DataFrame, prefix: str = "bronze.") -> DataFrame:
     """The raw tables a trace ends in."""
     return traced.filter(F.col("dataset").startswith(prefix)).select("dataset").distinct().orderBy("dataset")

@@ -130,5 +130,4 @@ def _(t):
         people.groupBy(F.col("r_name").alias("region"))
         .agg(F.count(F.lit(1)).alias("customers"), exact.alias("total_balance"))
         .orderBy(F.col("customers").desc(), "region")
-        .limit(100)
     )

@@ -440,6 +440,21 @@ def _(t):
     return graph.roots(graph.trace(entity_edges(t), START))
 
 
+@query(
+    "lineage_roots_all",
+    f"""WITH RECURSIVE edges AS ({EDGES_SQL}),
+        walk(root, node) AS (
+            SELECT DISTINCT from_dataset, from_dataset FROM edges WHERE from_dataset LIKE 'bronze.%'
+            UNION SELECT root, to_dataset FROM walk JOIN edges ON from_dataset = node)
+        SELECT node AS dataset, root FROM walk WHERE node LIKE 'gold.%'""",
+)
+def _(t):
+    edges = entity_edges(t)
+    raw = edges.where(F.col("from_dataset").startswith("bronze.")).select(F.col("from_dataset").alias("start"))
+    found = graph.reach(edges, raw, "downstream").where(F.col("dataset").startswith("gold."))
+    return found.select("dataset", F.col("start").alias("root"))
+
+
 # -- ranking --------------------------------------------------------------------
 RANK_QUERY = "show me the heinhas, reunies and thereon of en sources"
 _WORDS = ("en", "heinha", "reuny", "source", "thereon")

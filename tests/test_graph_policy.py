@@ -31,6 +31,31 @@ def test_trace_depth_direction_and_roots(edges):
         graph.trace(edges, "d", "sideways")
 
 
+def test_reach_is_a_trace_from_every_start(spark, edges):
+    links = [(f"n{i}", f"n{j}", "t") for i in range(90) for j in (i * 7 % 90, (i * i + 1) % 90) if i % 5]
+    graphs = [edges, spark.createDataFrame([*links, *links[:9], (None, "n1", "t"), ("n2", None, "t")], EDGES)]
+    for table, names in zip(graphs, (["bronze.a", "d", "nowhere", None, "d"], [f"n{i}" for i in range(0, 90)])):
+        pairs = [(r.from_dataset, r.to_dataset) for r in table.collect()]
+        for direction in ("upstream", "downstream"):
+            ahead = {}
+            for a, b in pairs:
+                near, far = (b, a) if direction == "upstream" else (a, b)
+                ahead.setdefault(near, set()).add(far)
+            want = set()
+            for name in {n for n in names if n}:
+                todo, met = [name], set()
+                while todo:
+                    for far in ahead.get(todo.pop(), ()):
+                        if far not in met:
+                            met.add(far)
+                            todo += [far] * (far is not None)
+                want |= {(name, far) for far in met}
+            starts = spark.createDataFrame([(n,) for n in names], "start string")
+            got = [tuple(r) for r in graph.reach(table, starts, direction).collect()]
+            assert set(got) == want and len(got) == len(want)
+    assert graph.reach(edges, starts.limit(0)).isEmpty() and graph.reach(edges.limit(0), starts).isEmpty()
+
+
 def test_a_trace_has_no_depth_limit(spark, monkeypatch):
     chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}", "x") for i in range(12)] * 2, "from_dataset string, to_dataset string, transform_id string")
     assert rows(graph.trace(chain, "n0"), "dataset", "level")[-1] == ("n9", 9) and graph.trace(chain, "n0").count() == 12
