@@ -145,8 +145,15 @@ def candidates(index: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return found.groupBy("row").agg(F.collect_set("rule").alias("rules"))
 
 
+#: Matches placed together; only the time of texts with very many matches depends on it.
+GROUP = 256
+
+
 def rule_spans(text: Column, rule: Rule, place: int) -> Column:
-    """Array of (start, place, end) of one rule. Between the matches lie the pieces of a split by the same pattern."""
+    """Array of (start, place, end) of one rule. Between the matches lie the pieces of a split by the same pattern.
+
+    An array that grows by one is copied each time, so matches are placed in groups of ``GROUP`` relative to the group's
+    start, groups are placed after each other, and the pieces are joined once."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group))
@@ -161,8 +168,25 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
         spans = F.when(step["tested"] >= rule.least, F.concat(state["spans"], span)).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    found = F.aggregate(steps, begin, add, lambda state: state["spans"])
+    def placed(base: Column, group: Column) -> Column:
+        begin = F.struct(base.alias("at"), F.array().cast(kind).alias("spans"))
+        return F.aggregate(group, begin, add, lambda state: state["spans"])
+
+    def length(group: Column) -> Column:
+        return F.aggregate(group, F.lit(0), lambda at, step: at + step["gap"] + step["size"])
+
+    def ends(groups: Column) -> Column:
+        return F.aggregate(groups, F.array(F.lit(0)), lambda at, group: F.concat(at, F.array(F.element_at(at, -1) + length(group))))
+
+    def grouped(held: Column) -> Column:
+        count = F.ceil(F.size(held) / GROUP).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(held, (i - 1) * GROUP + 1, GROUP))
+
+    def joined(groups: Column) -> Column:
+        return F.flatten(F.zip_with(F.slice(ends(groups), F.lit(1), F.size(groups)), groups, placed))
+
+    # a lambda variable is evaluated once, an expression at each use
+    found = F.element_at(F.transform(F.transform(F.array(steps), grouped), joined), 1)
     return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(kind))
 
 

@@ -55,3 +55,15 @@ def test_own_rules_and_edges(spark):
     found = scan(docs, rules=rules, blocks=3).select("doc_id", spelled("found", rules).alias("s")).collect()
     assert len(found) == len(edge_rows()) and [r.s for r in found if r.doc_id == 6] == ["word:0:3"]
     assert secrets(documents(spark, [])).count() == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    texts = [" ".join(f"{'ab' * (15 + n % 3)}{n:04x}"[: 30 + n % 5] for n in range(many)) for many in (255, 256, 257, 513)]
+    texts.append(" ü ".join("0123456789abcdef" * 2 for _ in range(48_000)))
+    began = time.time()
+    found = {r.doc_id: r.spans for r in secrets(documents(spark, list(enumerate(texts)))).collect()}
+    assert time.time() - began < 30
+    for n, text in enumerate(texts):
+        assert found[n] == brute(text, RULES)
