@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.context import RunContext
 from ledgerloom.functions import bands, text
-from ledgerloom.operators.snapshots import latest_per_key, version_history
+from ledgerloom.operators.snapshots import latest_delivery, version_history
 
 # The shared transaction shape and its vocabulary.
 RAIL_SHAPE = {
@@ -101,9 +101,9 @@ def silver_accounts(accounts: DataFrame, crm: DataFrame, ctx: RunContext | None
     Both the branch's and the resident's region are kept, and an impossible negative
     deposit balance is nulled with the raw value preserved beside it.
     """
-    resident = latest_per_key(
-        crm.select("customer_id", F.col("region").alias("customer_region"), "_batch_id"), ["customer_id"], ["_batch_id"]
-    ).drop("_batch_id")
+    told = [c for c in ("_ingested_at", "_source_file") if c in crm.columns]
+    lived = crm.select("customer_id", F.col("region").alias("customer_region"), "_batch_id", *told)
+    resident = latest_delivery(lived, ["customer_id"], ["_batch_id"], ["customer_region"]).select("customer_id", "customer_region")
     raw = F.col("balance").cast("double")
     anomaly = bands.flag(F.col("account_type").isin(*DEPOSIT_ACCOUNTS) & (raw < 0))
     branch, home = F.col("branch_region"), F.col("customer_region")
@@ -200,8 +200,12 @@ def silver_transactions(
     return conform_transactions(union, ctx)
 
 
+# What is kept of the latest row of a card.
+CARD_STATE = ("customer_id", "status", "credit_limit", "card_type", "network", "masked_number", "issue_date", "expiry_date")
+
+
 def silver_cards(cards: DataFrame, ctx: RunContext | None = None) -> DataFrame:
-    latest = latest_per_key(cards, ["card_id"], ["_batch_id"])
+    latest = latest_delivery(cards, ["card_id"], ["_batch_id"], CARD_STATE)
     return _finish(
         latest.select(
             "card_id",

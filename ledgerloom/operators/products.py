@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from ledgerloom.context import RunContext
 from ledgerloom.functions import bands
-from ledgerloom.operators.snapshots import current_versions, latest_per_key
+from ledgerloom.operators.snapshots import current_versions, latest_delivery, latest_per_key
 
 DISPUTE_WINDOW_DAYS = 90
 ACTIVITY_WINDOW_DAYS = 90
+# What is read of the latest account, loan and credit record; both loan summaries keep the same row of a tie.
+ACCOUNT_STATE = (
+    "customer_id", "status", "balance", "account_type", "overdraft_limit", "balance_anomaly_flag", "region_conflict_flag",
+)
+LOAN_STATE = (
+    "customer_id", "status", "dpd", "outstanding_principal", "principal", "npa_flag", "product", "emi_amount",
+    "collateral_value",
+)
+CREDIT_STATE = ("credit_score", "score_band", "enquiries_6m", "credit_vintage_months", "delinquencies_24m")
 
 
 def _count(condition: Column) -> Column:
@@ -21,7 +30,7 @@ def account_totals(accounts: DataFrame) -> DataFrame:
     """Latest state of every account, summed per customer."""
     held = F.coalesce("balance", F.lit(0.0))
     return (
-        latest_per_key(accounts, ["account_id"], ["snapshot_batch"])
+        latest_delivery(accounts, ["account_id"], ["snapshot_batch"], ACCOUNT_STATE)
         .groupBy("customer_id")
         .agg(
             F.count(F.lit(1)).alias("account_count"),
@@ -36,7 +45,7 @@ def account_totals(accounts: DataFrame) -> DataFrame:
 
 
 def loan_totals(loans: DataFrame, *, open_only: bool = False) -> DataFrame:
-    latest = latest_per_key(loans, ["loan_id"], ["snapshot_batch"])
+    latest = latest_delivery(loans, ["loan_id"], ["snapshot_batch"], LOAN_STATE)
     if open_only:
         latest = latest.filter(F.col("status") != "CLOSED")
     return latest.groupBy("customer_id").agg(
@@ -68,7 +77,7 @@ def trailing_activity(
 
 
 def latest_credit(credit_records: DataFrame) -> DataFrame:
-    return latest_per_key(credit_records, ["customer_id"], ["snapshot_batch", "bureau_id"])
+    return latest_delivery(credit_records, ["customer_id"], ["snapshot_batch", "bureau_id"], CREDIT_STATE)
 
 
 def customer_360(
@@ -161,7 +170,7 @@ def transaction_product(transactions: DataFrame, labels: DataFrame, ctx: RunCont
 def credit_risk(customers: DataFrame, loans: DataFrame, credit_records: DataFrame, ctx: RunContext) -> DataFrame:
     """Affordability and delinquency traits with the additive scorecard."""
     facilities = (
-        latest_per_key(loans, ["loan_id"], ["snapshot_batch"])
+        latest_delivery(loans, ["loan_id"], ["snapshot_batch"], LOAN_STATE)
         .filter(F.col("status") != "CLOSED")
         .groupBy("customer_id")
         .agg(

@@ -26,6 +26,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[st
     return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
 
 
+def latest_delivery(df: DataFrame, keys: Sequence[str], newest_first: Sequence[str], used: Sequence[str]) -> DataFrame:
+    """``latest_per_key`` without a random survivor: a key delivered twice in one batch keeps its later delivery, as far
+    as ``df`` knows deliveries, and then the greater values of the columns ``used`` afterwards (those that exist). Rows
+    still equal are equal in everything the caller reads."""
+    known = [c for c in ("_ingested_at", "_source_file", *used) if c in df.columns]
+    return latest_per_key(df, keys, [*newest_first, *known])
+
+
 def drop_redelivered(df: DataFrame, hash_column: str = "_record_hash", batch: str = "_batch_id") -> DataFrame:
     """Keep the newest delivery of every record, told apart by its natural-key hash."""
     ties = [c for c in ("_ingested_at", "_source_file") if c in df.columns]

@@ -57,3 +57,27 @@ def test_latest_limits_each_map_task_before_the_exchange(spark):
 def test_redelivered_records_keep_the_newest_batch(spark):
     df = spark.createDataFrame([("h1", "1"), ("h1", "2"), ("h2", "1")], "_record_hash string, _batch_id string")
     assert rows(drop_redelivered(df)) == [("h1", "2"), ("h2", "1")]
+
+
+def test_repeated_deliveries_of_a_batch_never_decide_at_random(spark):
+    from ledgerloom.operators.products import account_totals, loan_totals
+    from ledgerloom.operators.snapshots import latest_delivery
+
+    table = [("k", "2024-01", 5, "z"), ("k", "2024-02", 2, "b"), ("k", "2024-02", 3, "a"), ("k", "2024-02", None, "c")]
+    df = spark.createDataFrame(table, "key string, batch string, _ingested_at int, value string")
+    for parts in (1, 3):
+        got = latest_delivery(df.repartition(parts), ["key"], ["batch"], ["value", "absent"]).collect()
+        assert [r.value for r in got] == ["a"]
+        got = latest_delivery(df.drop("_ingested_at").repartition(parts), ["key"], ["batch"], ["value"]).collect()
+        assert [r.value for r in got] == ["c"]
+
+    schema = "account_id string, customer_id string, snapshot_batch string, account_type string, status string, balance double, overdraft_limit double, balance_anomaly_flag boolean, region_conflict_flag boolean"
+    rows = [("a1", "c1", "2024-02", "SAVINGS", s, b, 0.0, False, False) for s, b in (("ACTIVE", 5.0), ("ACTIVE", 7.0), ("CLOSED", 1.0))]
+    orders = [rows, rows[::-1], rows[1:] + rows[:1]]
+    held = [account_totals(spark.createDataFrame(order, schema).coalesce(1)).collect() for order in orders]
+    assert held[0] == held[1] == held[2] and held[0][0].account_count == 1
+
+    schema = "loan_id string, customer_id string, snapshot_batch string, product string, status string, dpd int, principal double, outstanding_principal double, npa_flag boolean"
+    rows = [("l1", "c1", "2024-02", "HOME", "ACTIVE", d, 9.0, o, d > 90) for d, o in ((0, 5.0), (95, 7.0), (30, 1.0))]
+    held = [loan_totals(spark.createDataFrame(order, schema).coalesce(1)).collect() for order in (rows, rows[::-1])]
+    assert held[0] == held[1] and held[0][0].dpd_max == 95 and held[0][0].loan_outstanding == 7.0
