@@ -3,39 +3,46 @@
 Texts are lower-cased, every run of other characters than letters becomes one space, and the ``order``-grams of the
 characters are counted over all training texts: in the tasks first, then map-side combined in Spark. Lower orders use
 continuation counts (in how many different contexts a shorter gram occurs), each order has its own absolute discount,
-and what the discount saves is spread by the next shorter order. The model of a language is a pair of sorted arrays
-per order: hashes of grams with their probability, and hashes of contexts with their back-off weight. A text gets the
-language of the lowest cross-entropy per character. Rejection is calibrated: a text is ``rejected`` if even its best
+and what the discount saves is spread by the next shorter order. Probabilities and back-off weights are computed by Spark
+and written as sorted hash arrays: for every order one table of grams and one of contexts, over all languages, cut into
+shards by the leading bits of the hash. A text gets the language of the lowest cross-entropy per character. Rejection is calibrated: a text is ``rejected`` if even its best
 cross-entropy is above what nearly all training texts of that language reached; every training row counts.
 
-Size: counts cover every training text; the arrays that travel to the tasks are bounded by ``max_entries`` grams per
-order over all languages (the most frequent stay; a rarer gram is scored through its shorter ones) and by
-``max_languages``. A worker handles about ``block_chars`` characters at once and looks every distinct gram up once.
+Size: every language and every gram is kept. Shards have about ``shard_entries`` entries, however large the model is;
+a worker keeps the shards it last used, up to ``held_entries`` entries, and reads the others again when it needs them.
+It handles about ``block_chars`` characters at once, fewer if there are many languages (``cells``), and looks every
+distinct gram of a block up once, shard by shard. The driver knows the names of the languages and the number of shards.
 
-A null or letterless text is ``und`` with score 0. Without any training text everything is ``und``. Texts longer than
-a block are read whole, in slices that each begin like a text. Repeated rows count as often as they occur.
+A null or letterless text is ``und`` with score 0. Without any training text everything is ``und``; an empty table gives
+an empty result. Texts longer than a block are read whole, in slices that each begin like a text. Repeated rows count as
+often as they occur. Of equally cheap languages the first by name is taken. Columns are taken from the given frame by
+its own names, so extra columns may be called anything. A null key is kept and never held out.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out, store, values, with_small
+from ledgerloom.llm.common import SharedFile, drop, filesystem, held_out, shared_folder, store, values, with_small
 
 
 @dataclass(frozen=True)
 class Shape:
     order: int = 4
-    max_entries: int = 1_000_000
-    max_languages: int = 64
+    #: Entries of a shard of the model, about.
+    shard_entries: int = 1_000_000
+    #: Entries (20 bytes each) that a worker keeps at hand.
+    held_entries: int = 6_000_000
     block_chars: int = 1_000_000
+    #: Characters times languages that are scored at once.
+    cells: int = 8_000_000
     #: Grams that a task gathers before it hands them on.
     task_grams: int = 2_000_000
     #: The share of the training texts of a language that must not be rejected.
@@ -147,57 +154,96 @@ def gram_counts(docs: DataFrame, shape: Shape) -> DataFrame:
     return partial.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Language:
-    #: Per order: sorted gram hashes, their probability, sorted context hashes, their back-off weight.
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+#: Shards that this worker has read, the last used at the end.
+SHARDS: OrderedDict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = OrderedDict()
+EMPTY = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Where the arrays are. Part ``2 n`` holds the grams of ``n + 1`` characters, part ``2 n + 1`` their contexts."""
+
+    names: tuple[str, ...]
+    order: int = 0
+    folder: str = ""
+    #: Leading hash bits that number the shards, by part.
+    bits: tuple[int, ...] = ()
+    #: Parts and shards that have entries.
+    filled: frozenset[tuple[int, int]] = frozenset()
     uniform: float = 1e-5
+    held_entries: int = 0
+
+    @property
+    def languages(self) -> dict[str, Language]:
+        return {name: Language(self, n) for n, name in enumerate(self.names)}
+
+    def shard(self, part: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes with the language and the value of each entry."""
+        if (part, number) not in self.filled:
+            return EMPTY
+        path = f"{self.folder}/{part}-{number}"
+        if path in SHARDS:
+            SHARDS.move_to_end(path)
+            return SHARDS[path]
+        fs, local = filesystem(path)
+        with fs.open_input_file(local) as file:
+            data = file.read()
+        count = len(data) // 20
+        found = (
+            np.frombuffer(data, "<u8", count),
+            np.frombuffer(data, "<i4", count, 16 * count),
+            np.frombuffer(data, "<f8", count, 8 * count),
+        )
+        while SHARDS and count + sum(len(s[0]) for s in SHARDS.values()) > self.held_entries:
+            SHARDS.popitem(last=False)
+        SHARDS[path] = found
+        return found
+
+    def entries(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of ``keys``, language, value) of all entries under these hashes."""
+        numbers = shard_of(keys, self.bits[part])
+        by = np.argsort(numbers, kind="stable")
+        present, begin = np.unique(numbers[by], return_index=True)
+        out = []
+        for number, at in zip(present.tolist(), np.split(by, begin[1:])):
+            hashes, langs, held = self.shard(part, number)
+            first = np.searchsorted(hashes, keys[at])
+            size = np.searchsorted(hashes, keys[at], "right") - first
+            index = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out.append((np.repeat(at, size), langs[index], held[index]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of the last column after the earlier ones, by row and language."""
+        n = len(columns)
+        if n == 1:
+            p, contexts = np.full((len(columns[0]), len(self.names)), self.uniform), np.zeros(len(columns[0]), np.uint64)
+        else:
+            _, first, where = np.unique(gram_hash(columns[1:]), return_index=True, return_inverse=True)
+            p, contexts = self.probabilities([c[first] for c in columns[1:]])[where], gram_hash(columns[:-1])
+        distinct, where = np.unique(contexts, return_inverse=True)
+        weights = np.ones((len(distinct), len(self.names)))
+        row, lang, value = self.entries(2 * n - 1, distinct)
+        weights[row, lang] = value
+        p *= weights[where]
+        row, lang, value = self.entries(2 * n - 2, gram_hash(columns))
+        p[row, lang] = value
+        return p
 
-    @staticmethod
-    def find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, held = table
-        if not len(hashes):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        return hashes[at] == keys, held[at]
+
+@dataclass(frozen=True)
+class Language:
+    """One language of a model."""
+
+    model: Model
+    place: int
 
     def probability(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Of the last column after the earlier ones, through the orders known so far."""
-        p = np.full(len(columns[-1]), self.uniform)
-        for n in range(1, len(self.grams) + 1):
-            context = columns[len(columns) - n : -1]
-            if context:
-                known, weight = self.find(self.contexts[n - 1], gram_hash(context))
-                p = np.where(known, weight * p, p)
-            else:
-                p = p * self.contexts[0][1][0]
-            seen, stored = self.find(self.grams[n - 1], gram_hash(columns[len(columns) - n :]))
-            p = np.where(seen, stored, p)
-        return p
+        return self.model.probabilities(columns)[:, self.place]
 
 
-@dataclass
-class Model:
-    order: int
-    languages: dict[str, Language]
-    #: Costs (negative log-probabilities) of the kept longest grams in every language, by sorted hash.
-    known: tuple[np.ndarray, np.ndarray] | None = None
-
-    def costs(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Cost of the last column after the earlier ones, by row and language; grams that are not kept back off."""
-        hashes, table = self.known
-        keys = gram_hash(columns)
-        at = np.minimum(np.searchsorted(hashes, keys), max(0, len(hashes) - 1))
-        found = hashes[at] == keys if len(hashes) else np.zeros(len(keys), bool)
-        out = np.empty((len(keys), len(self.languages)))
-        out[found] = table[at[found]]
-        if not found.all():
-            out[~found] = self.backed_off([c[~found] for c in columns])
-        return out
-
-    def backed_off(self, columns: list[np.ndarray]) -> np.ndarray:
-        return np.stack([-np.log(language.probability(columns)) for language in self.languages.values()], 1)
+def shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
 def order_tables(counts: DataFrame, shape: Shape) -> list[DataFrame]:
@@ -209,49 +255,94 @@ def order_tables(counts: DataFrame, shape: Shape) -> list[DataFrame]:
     return tables
 
 
+def smoothed(tables: list[DataFrame], uniform: float) -> list[DataFrame]:
+    """(lang, gram, value) by part: probabilities of the grams, back-off weights of the contexts, order after order."""
+    out: list[DataFrame] = []
+    for n, table in enumerate(tables, 1):
+        rows = table.count()
+        once = table.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
+        discount = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+        once = store(once.select("lang", discount.alias("d")), "kn-discounts", 1)
+        split = table.withColumn("context", F.expr(f"substring(gram, 1, {n - 1})"))
+        met = split.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+        met = with_small(met.alias("m"), once.alias("d"), F.expr("m.lang = d.lang")).select(
+            "m.lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("weight")
+        )
+        met = store(met, "kn-contexts", rows)
+        grams = split.join(met, ["lang", "context"])
+        if n == 1:
+            lower = grams.withColumn("lower", F.lit(uniform))
+        else:
+            shorter = out[-2].select("lang", F.col("gram").alias("rest"), F.col("value").alias("lower"))
+            lower = grams.withColumn("rest", F.expr("substring(gram, 2)")).join(shorter, ["lang", "rest"])
+        p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("lower")
+        out.append(store(lower.select("lang", "gram", p.alias("value")), "kn-grams", rows))
+        out.append(met.select("lang", F.col("context").alias("gram"), F.col("weight").alias("value")))
+    return out
+
+
 def fit(training: DataFrame, shape: Shape = Shape()) -> Model:
-    """``training``: (lang, text). The driver gets bounded arrays only."""
-    per = training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(shape.max_languages)
-    names = sorted(r["lang"] for r in per.collect())
-    tables = order_tables(gram_counts(training.where(F.col("lang").isin(names)), shape), shape)
+    """``training``: (lang, text). The driver gets the names of the languages and of the shards only."""
+    spark = training.sparkSession
+    tables = order_tables(gram_counts(training, shape), shape)
     names = sorted(r["lang"] for r in tables[0].select("lang").distinct().collect())  # those with a letter
-    model = Model(shape.order, {name: Language() for name in names})
     if not names:
-        return model
-    most = max(1, shape.max_entries // len(names))
-    alphabet = 1 + tables[0].select("gram").distinct().count()
-    for n, table in enumerate(tables, 1):
-        context = table.withColumn("context", F.expr(f"substring(gram, 1, {n - 1})"))
-        met = context.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("types"))
-        once = table.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
-        discount = {r["lang"]: r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5 for r in once.collect()}
-
-        def top(df: DataFrame, by: str, tie: str) -> DataFrame:
-            rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(by), tie))
-            return df.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
-
-        grams = top(context.join(met, ["lang", "context"]).select("lang", "gram", "c", "total", "types"), "c", "gram").toArrow()
-        contexts = top(met, "total", "context").toArrow()
-        for name, language in model.languages.items():
-            d, language.uniform = discount.get(name, 0.5), 1.0 / alphabet
-            own = contexts.filter(pa.compute.equal(contexts["lang"], name))
-            weights = d * own["types"].to_numpy() / own["total"].to_numpy()
-            keys = gram_hash(point_columns(own["context"].to_pylist(), n - 1)) if n > 1 else np.zeros(len(own), np.uint64)
-            by = np.argsort(keys)
-            own_contexts = (keys[by], weights[by])
-            own = grams.filter(pa.compute.equal(grams["lang"], name))
-            columns = point_columns(own["gram"].to_pylist(), n)
-            total, types = own["total"].to_numpy(), own["types"].to_numpy()
-            lower = language.probability(columns[1:]) if n > 1 else np.full(len(own), language.uniform)
-            p = np.maximum(own["c"].to_numpy() - d, 0) / total + d * types / total * lower
-            keys = gram_hash(columns)
-            by = np.argsort(keys)
-            language.contexts.append(own_contexts)
-            language.grams.append((keys[by], p[by]))
-    columns = point_columns(pa.compute.unique(grams["gram"]).to_pylist(), shape.order)
-    hashes, first = np.unique(gram_hash(columns), return_index=True)
-    model.known = (hashes, model.backed_off([c[first] for c in columns]).astype(np.float32))
-    return model
+        return Model(())
+    uniform = 1.0 / (1 + tables[0].select("gram").distinct().count())
+    parts = smoothed(tables, uniform)
+    bits = tuple(max(0, (part.count() - 1) // shape.shard_entries).bit_length() for part in parts)
+    places, folder = {name: n for n, name in enumerate(names)}, shared_folder(spark, "kn-model")
+    entry = "part int, shard long, hash long, lang int, value double"
+
+    def hashed(part: int):
+        size = part // 2 + (part + 1) % 2
+
+        def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                grams = values(batch, "gram")
+                keys = gram_hash(point_columns(grams, size)) if size else np.zeros(len(grams), np.uint64)
+                langs = np.fromiter((places[x] for x in values(batch, "lang")), np.int32, len(grams))
+                arrays = [np.full(len(grams), part, np.int32), shard_of(keys, bits[part]), keys.view(np.int64), langs]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), batch.column(2)], ["part", "shard", "hash", "lang", "value"])
+
+        return rows
+
+    def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            hashes, langs, numbers = (np.concatenate(x) for x in zip(*held))
+            by = np.lexsort((langs, hashes))
+            file = SharedFile(folder, f"{at[0]}-{at[1]}")
+            for array, kind in ((hashes, "<u8"), (numbers, "<f8"), (langs, "<i4")):
+                file.write(array[by].astype(kind).tobytes())
+            file.close()
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64())], ["part", "shard"])
+
+        for batch in batches:
+            part, shard, hashes, langs, numbers = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(shard) != 0)) + 1
+            for rows in np.split(np.arange(len(part)), cuts):
+                if not len(rows):
+                    continue
+                key = (int(part[rows[0]]), int(shard[rows[0]]))
+                if at not in (None, key):
+                    yield finish()
+                    held = []
+                at = key
+                held.append((hashes[rows].view(np.uint64), langs[rows], numbers[rows]))
+        if held:
+            yield finish()
+
+    entries = None
+    for number, part in enumerate(parts):
+        rows = part.mapInArrow(hashed(number), entry)
+        entries = rows if entries is None else entries.unionAll(rows)
+    dealt = entries.repartition("part", "shard").sortWithinPartitions("part", "shard")
+    filled = store(dealt.mapInArrow(written, "part int, shard long"), "kn-shards", 1)
+    filled = frozenset((r["part"], r["shard"]) for r in filled.collect())
+    drop(*tables, *parts)
+    return Model(tuple(names), shape.order, folder, bits, filled, uniform, shape.held_entries)
 
 
 def point_columns(grams: list[str], size: int) -> list[np.ndarray]:
@@ -261,9 +352,9 @@ def point_columns(grams: list[str], size: int) -> list[np.ndarray]:
 
 def entropies(texts: list[str | None], model: Model, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(characters per text, cross-entropy in nats per character by text and language)."""
-    sums = np.zeros((len(texts), len(model.languages)))
+    sums = np.zeros((len(texts), len(model.names)))
     chars, inked = np.zeros(len(texts)), np.zeros(len(texts))
-    for rows, block in slices(texts, shape.block_chars):
+    for rows, block in slices(texts, max(1000, min(shape.block_chars, shape.cells // len(model.names)))):
         owner, columns = characters(block, model.order)
         if not len(owner):
             continue
@@ -271,7 +362,7 @@ def entropies(texts: list[str | None], model: Model, shape: Shape) -> tuple[np.n
         chars += np.bincount(at, minlength=len(texts))
         inked += np.bincount(at[columns[-1] != SPACE], minlength=len(texts))
         _, first, where = np.unique(gram_hash(columns), return_index=True, return_inverse=True)
-        cost = model.costs([c[first] for c in columns])
+        cost = -np.log(model.probabilities([c[first] for c in columns]))
         for i in range(cost.shape[1]):
             sums[:, i] += np.bincount(at, weights=cost[where, i], minlength=len(texts))
     chars[inked == 0] = 0
@@ -283,12 +374,12 @@ OUT = "lang_pred string, score double, cross_entropy double"
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", shape: Shape = Shape()) -> DataFrame:
     """One row per row of ``docs``: key, ``lang_pred``, ``score`` and ``cross_entropy``."""
-    sent, names = docs.sparkSession.sparkContext.broadcast(model), list(model.languages)
+    names = model.names
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = values(batch, "text")
-            model, rows = sent.value, [("und", 0.0, None)] * len(texts)
+            rows = [("und", 0.0, None)] * len(texts)
             if names:
                 chars, cost = entropies(texts, model, shape)
                 best = cost.argmin(1)
