@@ -2,8 +2,8 @@
 
 From every rule's regular expression a Boolean query over lower-cased trigrams is derived: what must be in a text for
 the rule to match at all. The index holds posting lists for the trigrams that the rules can ask about: rows are dealt
-to blocks by a hash, and a posting list names the rows of one block that contain the trigram, so no list grows with
-the corpus. Queries intersect and unite posting lists block by block; only the candidate texts are matched against
+to blocks by a hash, about ``BLOCK_ROWS`` to a block, and a posting list names the rows of one block that contain the
+trigram, so the number of blocks grows with the table and no list does. Queries intersect and unite posting lists block by block; only the candidate texts are matched against
 the rule. A rule without mandatory trigrams is matched against every text.
 
 A row is named by the hash of its text, so copies share their postings; rows whose hashes happen to collide share
@@ -11,6 +11,8 @@ candidates, which verification sorts out. Texts are shuffled once, to meet their
 
 Spans are code-point positions ``[start, end)`` of leftmost non-overlapping matches of each rule; a match whose checked
 group is too short is dropped after matching, as it still uses up its text. Null texts count as empty and have none.
+Texts are matched whole, whatever their length. Repeated rows give a row each; matches of several rules at one start are
+ordered by rule. An empty table gives an empty result. Extra columns may be called anything.
 """
 
 from __future__ import annotations
@@ -115,6 +117,14 @@ def trigram_query(pattern: str) -> list[Clause]:
     return clauses
 
 
+#: Rows of an index block, about; copies of a text count once.
+BLOCK_ROWS = 2_000
+
+
+def blocks_for(rows: DataFrame) -> int:
+    return 1 + rows.count() // BLOCK_ROWS
+
+
 def build_index(rows: DataFrame, vocabulary: list[str], blocks: int) -> DataFrame:
     """``rows`` (row, text) to posting lists (block, trigram, rows)."""
     asked = F.array(*[F.lit(t) for t in vocabulary])
@@ -197,8 +207,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
     rows = docs.select(docs[key].alias("id"), body.alias("text"), F.xxhash64(body).alias("row"))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     vocabulary = sorted({t for query in queries.values() for clause in query for terms in clause for t in terms})
-    if blocks is None:  # about as many rows in a block as a task reads in one go
-        blocks = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    if blocks is None:
+        blocks = blocks_for(docs)
     asked = candidates(build_index(rows, vocabulary, blocks), rules)
     met = rows.join(asked, "row", "left")
     every = [

@@ -3,8 +3,9 @@ import re
 
 import pytest
 from helpers import clashing, documents, edge_rows
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.trigram_secrets import BASE, RULES, Rule, scan, secrets, spelled, trigram_query
+from ledgerloom.llm.trigram_secrets import BASE, BLOCK_ROWS, RULES, Rule, blocks_for, build_index, scan, secrets, spelled, trigram_query
 
 
 def brute(text, rules):
@@ -67,3 +68,11 @@ def test_very_many_matches_in_one_text(spark):
     assert time.time() - began < 30
     for n, text in enumerate(texts):
         assert found[n] == brute(text, RULES)
+
+
+@pytest.mark.parametrize("rows", (5_000, 60_000))
+def test_posting_lists_do_not_grow_with_the_table(spark, rows):
+    docs = spark.range(rows).select(F.concat(F.lit("token "), F.col("id").cast("string")).alias("text"))
+    keyed = docs.select(F.xxhash64("text").alias("row"), "text")
+    lists = build_index(keyed, ["tok"], blocks_for(docs)).select(F.size("rows").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert lists[0] <= 1.2 * BLOCK_ROWS and lists[1] == rows
