@@ -106,13 +106,11 @@ def failures(answers: DataFrame, expectations: DataFrame, key: str = "case_id")
     found = F.when(got("__answered").isNull(), F.array(F.lit("error: no evidence produced"))).otherwise(
         F.concat(*checks)
     )
-    return e.join(a, key, "left").select(
-        key,
-        *[F.col(f"e.{c}") for c in ("weight", "must_pass", "tags")],
-        F.col("a.latency_ms"),
-        found.alias("failures"),
-        (F.size(found) == 0).alias("passed"),
+    judged = e.join(a, key, "left").select(
+        key, *[F.col(f"e.{c}") for c in ("weight", "must_pass", "tags")], F.col("a.latency_ms"), found.alias("failures")
     )
+    # The list is built once: a projection that reads it twice is not folded into the one that builds it.
+    return judged.withColumn("passed", F.size("failures") == 0)
 
 
 def is_critical() -> Column:

@@ -36,8 +36,8 @@ def alarm_counts(
 ) -> DataFrame:
     """p95 latency, errors and refusals per window and key.
 
-    In batch, latencies are counted per whole millisecond before the percentile, so one
-    busy key is a short histogram. A stream allows one aggregation and takes the
+    In batch, equal latencies are counted before the percentile, so one busy key is a
+    histogram. A stream allows one aggregation and takes the
     mergeable estimate instead.
     """
     errors, refusals = F.sum("errors").alias("errors"), F.sum("refusals").alias("refusals")
@@ -50,7 +50,7 @@ def alarm_counts(
             keys, "p95_ms", "errors", "refusals", "calls",
         )
     counted = calls.groupBy(
-        F.window(F.col(ts), period).alias("window"), *keys, F.col(latency).cast("long").alias("__ms")
+        F.window(F.col(ts), period).alias("window"), *keys, F.col(latency).alias("__ms")
     ).agg(F.count(F.lit(1)).alias("__n"), errors, refusals)
     folded = counted.groupBy("window", *keys).agg(
         F.percentile("__ms", 0.95, F.col("__n")).alias("p95_ms"),

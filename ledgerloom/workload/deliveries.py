@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import conform, snapshots
 from ledgerloom.operators.merges import VersionStore
 from ledgerloom.session import materialise, scratch_path
-from ledgerloom.sources import batches, ingest
+from ledgerloom.sources import batches, differences, ingest
 from ledgerloom.sources.zones import Zones
 from ledgerloom.workload.registry import query
 from ledgerloom.workload.tables import month_id
@@ -78,3 +78,30 @@ def _(t):
     # Every second batch at a time: each part sees the other only through hashes and batch names.
     parts = [conform.conform_transactions(conform.payment_rail(batches.newest_deliveries(bronze, months[k::2]))) for k in (0, 1)]
     return parts[0].unionByName(parts[1]).select("transaction_id", "_batch_id", "transaction_date", "amount", "signed_amount")
+
+
+@query(
+    "delivery_differences",
+    """WITH dated AS (SELECT o_orderkey, o_orderstatus, o_totalprice, date_trunc('month', o_orderdate) AS month FROM orders),
+            earlier AS (SELECT o_orderkey, o_totalprice FROM dated WHERE month > (SELECT min(month) FROM dated)),
+            later AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+                      FROM dated WHERE month < (SELECT max(month) FROM dated))
+       SELECT o_orderkey,
+              CASE WHEN e.o_totalprice IS NULL THEN 'added' WHEN l.o_totalprice IS NULL THEN 'removed' ELSE 'changed' END AS change,
+              CAST(e.o_totalprice IS NOT NULL AS BIGINT) AS rows_before, CAST(l.o_totalprice IS NOT NULL AS BIGINT) AS rows_after
+       FROM earlier e FULL JOIN later l USING (o_orderkey)
+       WHERE e.o_totalprice IS DISTINCT FROM l.o_totalprice""",
+)
+def _(t):
+    # The later delivery has lost the last month, has won the first, and has corrected the orders in progress.
+    orders = t["orders"].withColumn("month", F.trunc("o_orderdate", "MM"))
+    first, last = orders.agg(F.min("month"), F.max("month")).first()
+    price = F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    zones = Zones(t.spark, scratch_path(t.spark, "deliveries"))
+    earlier = orders.where(F.col("month") > F.lit(first)).drop("month")
+    later = orders.where(F.col("month") < F.lit(last)).drop("month").withColumn("o_totalprice", price)
+    kept = [
+        differences.keep_delivery(zones, f"bronze.orders_{name}", df, ["o_orderkey"], buckets=64, fan=8)
+        for name, df in (("earlier", earlier), ("later", later))
+    ]
+    return differences.differing_keys(*kept)
