@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.snapshots import latest_per_key
+from ledgerloom.sources.zones import Zones
 
 # How long a record is kept.
 RETENTION_DAYS = 400
 INDEXED = ("outcome", "agent", "engine", "provider", "model_id", "refused")
 BULKY = ("preview", "trace")
+#: Later than any expiry.
+NEVER = 2**62
 
 
 def _payload(columns: list[str], *, trimmed: bool) -> Column:
@@ -75,5 +78,24 @@ def answers_per_trace(log: DataFrame) -> DataFrame:
     return log.groupBy("trace_id").agg(F.count(F.lit(1)).alias("answers"))
 
 
+def drop_expired(spark: SparkSession, path: str, now_epoch: int, *, grace_seconds: int = 0) -> list[str]:
+    """Delete the day folders in which every record expired at least ``grace_seconds`` ago; returns the days.
+
+    Records of one day may have different expiries, so the latest of a day decides; a record without an expiry keeps its
+    day. A day that is only partly expired stays as it is and ``unexpired`` hides its expired records, so no kept record
+    is ever rewritten and a killed call loses nothing: the next one drops what is left. Readers filter with ``unexpired``;
+    with a grace longer than the longest read, no open reader needs a dropped file. One row per day reaches the driver.
+    """
+    zones = Zones(spark, path)
+    if not zones.has_files(path):
+        return []
+    kept = F.max(F.coalesce("expires_at", F.lit(NEVER)))
+    by_day = read_answers(spark, path).groupBy(F.col("asked_on").cast("string").alias("day")).agg(kept.alias("last"))
+    days = sorted(r["day"] for r in by_day.filter(F.col("last") <= now_epoch - grace_seconds).collect() if r["day"])
+    for day in days:
+        zones.drop_folder(f"{path.rstrip('/')}/asked_on={day}")
+    return days
+
+
 def unexpired(log: DataFrame, now_epoch: int) -> DataFrame:
     return log.filter(F.col("expires_at") > now_epoch)

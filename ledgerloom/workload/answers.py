@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import audit, detectors, evaluation
+from ledgerloom.session import scratch_path
 from ledgerloom.workload.registry import query
 from ledgerloom.workload.tables import FRAUD_METHODS, mapped
 from ledgerloom.workload.views_sql import case
@@ -77,6 +78,32 @@ def _(t):
     return audit.unexpired(_log(t), NOW).select("trace_id", "asked_at", "expires_at")
 
 
+@query(
+    "audit_retained_log",
+    f"SELECT trace_id, asked_at, outcome, event_id, expires_at FROM ({LOG_SQL}) WHERE expires_at > {NOW}",
+)
+def _(t):
+    # Written by day, expired days dropped, then read: the filter hides what is left of the boundary day.
+    path = scratch_path(t.spark, "answers")
+    audit.append_answers(_log(t), path)
+    audit.drop_expired(t.spark, path, NOW)
+    kept = audit.unexpired(audit.read_answers(t.spark, path), NOW)
+    return kept.select("trace_id", "asked_at", "outcome", "event_id", "expires_at")
+
+
+@query(
+    "audit_payload",
+    f"""SELECT 'T' || user_id AS trace_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS asked_at,
+               {case("event_type", OUTCOMES)} AS outcome, props AS question, 'copilot' AS agent,
+               event_type = 'error' AS refused, value AS preview, event_id
+        FROM events""",
+)
+def _(t):
+    fields = "trace_id string, asked_at string, outcome string, question string, agent string, refused boolean, preview array<double>, event_id long"
+    body = _log(t).select(F.from_json("payload", fields).alias("p")).select("p.*")
+    return body.withColumn("preview", F.element_at("preview", 1))
+
+
 @query(
     "outcome_classification",
     """SELECT event_id,

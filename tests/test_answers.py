@@ -35,6 +35,28 @@ def test_an_oversized_payload_loses_its_bulk_but_not_the_record(answers):
     assert body["outcome"] == "ANSWERED_FROM_DATA"
 
 
+def test_expired_days_are_dropped_as_folders(spark, answers, scratch):
+    path, day = f"{scratch}/log", 86_400
+    audit.append_answers(audit.answer_records(answers), path)
+    late = answers.limit(1).withColumns({"trace_id": F.lit("t3"), "asked_at": F.lit("2024-01-02 23:00:00")})
+    audit.append_answers(audit.answer_records(late), path)
+    keeps = answers.limit(1).withColumns({"trace_id": F.lit("t4"), "asked_at": F.lit("2023-12-30 01:00:00")})
+    audit.append_answers(audit.answer_records(keeps, ttl_days=4000), path)
+    now = 1704189600 + 400 * day  # the moment at which the record of 10:00 on the second day expires
+
+    def folders():
+        return sorted({f.rpartition("/")[0].rpartition("=")[2] for f in audit.read_answers(spark, path).inputFiles()})
+
+    before = rows(audit.unexpired(audit.read_answers(spark, path), now), "trace_id", "asked_at")
+    assert folders() == ["2023-12-30", "2024-01-01", "2024-01-02"]
+    assert audit.drop_expired(spark, path, now, grace_seconds=2 * day) == []
+    assert audit.drop_expired(spark, path, now) == ["2024-01-01"]
+    assert folders() == ["2023-12-30", "2024-01-02"]
+    assert rows(audit.unexpired(audit.read_answers(spark, path), now), "trace_id", "asked_at") == before
+    assert [b[0] for b in before] == ["t3", "t4"]
+    assert audit.drop_expired(spark, path, now) == [] and audit.drop_expired(spark, f"{scratch}/none", now) == []
+
+
 def test_log_round_trip(spark, answers, scratch):
     path = f"{scratch}/log"
     audit.append_answers(audit.answer_records(answers), path)
