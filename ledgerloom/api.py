@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.audit import append_answers, latest_answer, recent_answers
+from ledgerloom.operators.audit import append_answers, drop_expired, latest_answer, recent_answers
 from ledgerloom.operators.evaluation import failures as score_cases
 from ledgerloom.operators.evaluation import gate
 from ledgerloom.operators.graph import downstream_of, roots, upstream_of
@@ -19,13 +19,14 @@ from ledgerloom.plans.medallion import build_gold, build_silver, ingest_bronze,
 from ledgerloom.plans.medallion import publish_all as publish
 from ledgerloom.plans.metric_query import Filter, MetricRequest, TimeWindow, metric_query, preview
 from ledgerloom.plans.publish import list_products, quality_summary
+from ledgerloom.sources.differences import differing_keys, keep_delivery
 from ledgerloom.sources.manifest import fingerprint
 from ledgerloom.sources.releases import Releases
 from ledgerloom.sources.zones import Zones
 
 __all__ = [
     "Filter", "LaidOut", "MetricRequest", "Releases", "TimeWindow", "append_answers", "ask", "build_gold", "build_silver", "check_use",
-    "downstream_of", "evaluate_rules", "fingerprint", "gate", "ingest_bronze", "latest_answer", "lineage_of",
+    "differing_keys", "downstream_of", "drop_expired", "evaluate_rules", "fingerprint", "gate", "ingest_bronze", "keep_delivery", "latest_answer", "lineage_of",
     "list_products", "metric_query", "preview", "publish", "quality_summary", "recent_answers", "resolve_terms", "run", "run_increment", "run_release",
     "score_cases", "search_products", "sla", "trace_lineage", "upstream_of", "upstream_sources",
 ]
