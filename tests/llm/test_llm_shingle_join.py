@@ -4,7 +4,7 @@ import numpy as np
 from helpers import documents, prose
 
 import corpus_pipeline
-from ledgerloom.llm import shingle_join
+from ledgerloom.llm import shingle_join, simhash_ring
 from ledgerloom.llm.shingle_join import Likeness, classes, folded, sketch
 
 
@@ -88,3 +88,23 @@ def test_sketches_never_refuse_a_linked_pair():
     wide = sketch(pool[:500], 16)
     assert folded(wide, len(wide) // 8) == int.from_bytes(sketch(pool[:500], 2), "little")
     assert sketch(pool[:0], 2) == bytes(8)
+
+
+def test_groups_of_another_method_are_checked(spark):
+    rows = texts()
+    want, docs = brute(rows), documents(spark, rows)
+    for groups in ("0L", "doc_id % 3", "doc_id"):  # much too wide, wrong, and of no use
+        told = docs.selectExpr("doc_id", f"CAST({groups} AS BIGINT) AS component_id")
+        assert {r.doc_id: r.component_id for r in classes(docs, groups=told).collect()} == want
+
+
+def test_the_stage_asks_the_ring_first(spark, monkeypatch):
+    asked, ring = [], simhash_ring.classes
+    monkeypatch.setattr(simhash_ring, "classes", lambda *given: asked.append(given) or ring(*given))
+    told = " ".join([prose(61, 41)] * 40)  # alike for the ring only: repeats weigh in a fingerprint and not in a set
+    words = prose(62, 200).split()  # alike for the check only
+    rows = [(1, told), (2, f"{told} {prose(63, 30)}"), (3, " ".join(words)), (4, " ".join([*words[:190], *prose(64, 10).split()]))]
+    docs = documents(spark, rows)
+    assert {r.doc_id: r.component_id for r in ring(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3] and len(asked) == 1
