@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialise
+from ledgerloom.session import materialise, scratch_path
 
 #: A frontier of at most this many nodes is sent to all tasks; a larger one is joined by a shuffle.
 SMALL_FRONTIER = 50_000
@@ -71,6 +71,15 @@ def trace(edges: DataFrame, dataset: str, direction: str = "upstream", depth: in
     return found
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The distinct rows as a table in buckets of ``key`` and its name; joins on the key do not move it again."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "buckets")
+    count, name = int(spark.conf.get("spark.sql.shuffle.partitions")), path.rpartition("/")[2].replace("-", "_")
+    dealt = df.repartition(count, key).distinct()
+    dealt.write.bucketBy(count, key).option("path", path).option("compression", "zstd").saveAsTable(name, format="parquet")
+    return spark.table(name), name
+
+
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "upstream") -> DataFrame:
     """``(start, dataset)``: every node reached from each node of ``starts`` (``start``), in one traversal.
 
@@ -79,11 +88,12 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "upstream") -> D
     A round passes on only the bits that are new at a node, so cycles and diamonds end, and each
     round is written to the durable checkpoint folder. A start is in its own result only if a
     cycle leads back to it, as in ``trace``. Null starts and repeated starts count once or not
-    at all; without starts or edges there is no row. The result, and so the work, grows with the
+    at all; without starts or edges there is no row. Edges, repeated or not, move once: they are kept in buckets by their
+    near node, and a round moves new bits only. The result, and so the work, grows with the
     pairs reached: ask from the side with fewer nodes.
     """
     near, far = _sides(direction)
-    hops = materialise(edges.select(F.col(near).alias("node"), F.col(far).alias("dataset")).distinct())
+    hops, table = bucketed(edges.select(F.col(near).alias("node"), F.col(far).alias("dataset")), "node")
     known = starts.select("start").where("start IS NOT NULL").distinct()
     numbered = materialise(known.withColumn("__id", F.monotonically_increasing_id()))
     asked = numbered.select(
@@ -104,6 +114,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "upstream") -> D
             reached.join(before, ["node", "word"], "left").select("node", "word", missing.alias("bits")).where("bits <> 0")
         )
         seen = materialise(seen.unionByName(fresh).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    edges.sparkSession.sql(f"DROP TABLE {table}")
     met = seen.join(asked, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
     return met.select("start", F.col("node").alias("dataset"))
 

@@ -353,13 +353,14 @@ def _(t):
 
 
 # -- lineage --------------------------------------------------------------------
-def entity_edges(t) -> DataFrame:
-    """Which entity feeds which, derived from every line item, order, part and supplier."""
+def entity_edges(t, *, repeats: bool = False) -> DataFrame:
+    """Which entity feeds which, derived from every line item, order, part and supplier; on request with repeated edges."""
 
     def edges(df, from_column, to_column, name):
-        return df.select(
+        found = df.select(
             from_column.alias("from_dataset"), to_column.alias("to_dataset"), F.lit(name).alias("transform_id")
-        ).distinct()
+        )
+        return found if repeats else found.distinct()
 
     lines = t["lineitem"]
     parts = [
@@ -449,7 +450,7 @@ def _(t):
         SELECT node AS dataset, root FROM walk WHERE node LIKE 'gold.%'""",
 )
 def _(t):
-    edges = entity_edges(t)
+    edges = entity_edges(t, repeats=True)  # the traversal drops them on its own way
     raw = edges.where(F.col("from_dataset").startswith("bronze.")).select(F.col("from_dataset").alias("start"))
     found = graph.reach(edges, raw, "downstream").where(F.col("dataset").startswith("gold."))
     return found.select("dataset", F.col("start").alias("root"))
