@@ -67,18 +67,29 @@ class Published:
         self.zones = Zones(tables.spark, f"{durable_dir(tables.spark)}/ledgerloom/published-{session}-{state}")
 
     def read(self, dataset: str, build: Callable[[], DataFrame] | None = None) -> DataFrame:
-        # Spark writes this marker last, so a half-written table is built again.
-        if not self.zones.folder_exists(f"{self.zones.path(dataset)}/_SUCCESS"):
+        if not self._written(dataset):
             self.zones.write(dataset, build() if build else self._build(dataset))
         return self.zones.read(dataset, merge_schema=False)
 
+    def _from_silver(self) -> Tables:
+        """The tables, with the silver ones that are already written read from there instead of built again."""
+        t = self.tables
+        for name in ("customers", "accounts", "transactions"):
+            if self._written(f"silver.{name}"):
+                setattr(t, f"s_{name}", self.zones.read(f"silver.{name}", merge_schema=False))
+        return t
+
+    def _written(self, dataset: str) -> bool:
+        # Spark writes this marker last, so a half-written table is built again.
+        return self.zones.folder_exists(f"{self.zones.path(dataset)}/_SUCCESS")
+
     def _build(self, dataset: str) -> DataFrame:
         t = self.tables
         return {
-            "gold.customer_360": lambda: t.customer_360,
+            "gold.customer_360": lambda: self._from_silver().customer_360,
             # In order within files, for date filters, without moving the whole fact once more.
-            "gold.transaction": lambda: t.transaction.sortWithinPartitions("transaction_date"),
-            "gold.credit_risk": lambda: t.credit_risk,
+            "gold.transaction": lambda: self._from_silver().transaction.sortWithinPartitions("transaction_date"),
+            "gold.credit_risk": lambda: self._from_silver().credit_risk,
             "silver.customers": lambda: t.s_customers,
             "silver.accounts": lambda: t.s_accounts,
             "silver.transactions": lambda: t.s_transactions,

@@ -340,10 +340,11 @@ class Tables:
 
     @cached_property
     def customer_360(self) -> DataFrame:
-        crm = materialise(self.crm)  # versions and residences come from the same snapshots
-        customers = conform.silver_customers(crm, self.ctx, collapse=False)
-        accounts = conform.silver_accounts(self.accounts, crm)
-        return products.customer_360(customers, accounts, self.s_loans, self.s_transactions, self.s_credit, self.ctx)
+        if not {"s_customers", "s_accounts"} & vars(self).keys():
+            self.crm = materialise(self.crm)  # versions and residences come from the same snapshots
+        return products.customer_360(
+            self.s_customers, self.s_accounts, self.s_loans, self.s_transactions, self.s_credit, self.ctx
+        )
 
     @cached_property
     def transaction(self) -> DataFrame:

@@ -211,7 +211,8 @@ ALL_RULES_SQL = _rules_sql(PUBLISHED_RULES, _RULED_SQL)
 
 def _published_tables(t) -> dict[str, DataFrame]:
     store = Published(t)
-    return {name: store.read(name) for name in _RULED_SQL}
+    # Silver first: the products are then built from what is written.
+    return {name: store.read(name) for name in sorted(_RULED_SQL, key=lambda name: name.startswith("gold."))}
 
 
 def _evaluated(t) -> DataFrame:
