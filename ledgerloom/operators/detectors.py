@@ -8,7 +8,8 @@ and the result is the same as with a window over the whole card.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,6 +30,8 @@ TYPICAL_FLOOR = 500.0
 SLICES_PER_LOOKBACK = 8
 #: Stretches of time within which a ring's cards are counted one by one.
 STRETCHES_PER_LOOKBACK = 16
+#: Groups of rings are counted in this many buckets; one with more rows than that is hot.
+HEAT_BUCKETS, HOT_ROWS = 1 << 16, 1_000_000
 
 
 def time_slices(df: DataFrame, ts: str, lookback: int, *, slice_seconds: int | None = None) -> DataFrame:
@@ -231,6 +234,62 @@ def takeovers(
     )
 
 
+def _ring_steps(sliced: DataFrame, keys: Sequence[str], card: str, order: Sequence[str], span: int) -> DataFrame:
+    """Each charge as two steps: ``__delta`` is +1 at its own time and -1 when it no longer counts."""
+    again = F.lead("__us").over(W.partitionBy(*keys, card).orderBy("__us", *order))
+    leaves = F.least(F.col("__us") + F.lit(span + 1), again)
+    return (
+        sliced.withColumn("__leaves", leaves)
+        .withColumn(
+            "__step",
+            F.explode(
+                F.array(
+                    F.struct(F.col("__us").alias("at"), F.lit(1).alias("delta")),
+                    F.struct(F.col("__leaves").alias("at"), F.lit(-1).alias("delta")),
+                )
+            ),
+        )
+        .withColumns({"__at": F.col("__step.at"), "__delta": F.col("__step.delta")})
+    )
+
+
+def _in_company(sliced: DataFrame, keys: Sequence[str], span: int) -> DataFrame:
+    """Rows with another row of their group within the look-back, before or after them."""
+    by_time = W.partitionBy(*keys).orderBy("__us")
+    now = F.col("__us")
+    gaps = {"__since": now - F.lag(now).over(by_time), "__until": F.lead(now).over(by_time) - now}
+    return (
+        sliced.withColumns(gaps)
+        .filter((F.col("__since") <= span) | (F.col("__until") <= span))
+        .drop(*gaps)
+    )
+
+
+def _count_by_group(sliced: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Ring sizes with one running sum per group: all its windows share one exchange."""
+    running = W.partitionBy(*keys).orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return steps(sliced).withColumn("ring_cards", F.sum("__delta").over(running))
+
+
+def _count_by_stretch(
+    sliced: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame], DataFrame], span: int
+) -> DataFrame:
+    """The same sizes with a running sum per stretch of time, which starts from the sum of all stretches before."""
+    stretch = F.expr(f"__at div {max(1, span // STRETCHES_PER_LOOKBACK)}L")
+    dealt = steps(sliced).withColumn("__stretch", stretch)
+    before = W.partitionBy(*keys).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        dealt.groupBy(*keys, "__stretch")
+        .agg(F.sum("__delta").alias("__sum"))
+        .withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+        .drop("__sum")
+    )
+    running = W.partitionBy(*keys, "__stretch").orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return dealt.join(starts, [*keys, "__stretch"]).withColumn(
+        "ring_cards", F.col("__start") + F.sum("__delta").over(running)
+    )
+
+
 def collusion_rings(
     txns: DataFrame,
     *,
@@ -241,42 +300,33 @@ def collusion_rings(
     order: Sequence[str] = ("transaction_id",),
     seconds: int = RING_SECONDS,
     cards: int = RING_CARDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Charges of one amount at one merchant by several cards; adds ``ring_cards``.
 
     ``ring_cards`` is the exact number of distinct cards in the closed look-back. A card
     counts from its charge until the look-back ends or it charges again, so the number is
-    a running sum of +1 and -1: constant state, no set of cards and no pairs of rows. The
-    sum runs within short stretches of time and starts from the sum of all stretches
-    before, which are few and added up map-side: one popular price is not one task.
+    a running sum of +1 and -1: constant state, no set of cards and no pairs of rows.
+
+    Rows move once, by merchant, amount and slice, and those with no other row near them
+    are left out before anything else is done. Groups in a hash bucket of more than
+    ``hot_rows`` rows go another way to the same numbers: their sum runs within short
+    stretches of time and starts from the sum of all stretches before, which are few and
+    added up map-side, so that one popular price is not one task.
     """
-    sliced = time_slices(_known(txns, merchant, amount, card), ts, seconds)
-    again = F.lead("__us").over(W.partitionBy(merchant, amount, "__slice", card).orderBy("__us", *order))
-    leaves = F.least(F.col("__us") + F.lit(seconds * SECOND + 1), again)
-    steps = sliced.withColumn("__leaves", leaves).withColumn(
-        "__step",
-        F.explode(
-            F.array(
-                F.struct(F.col("__us").alias("at"), F.lit(1).alias("delta")),
-                F.struct(F.col("__leaves").alias("at"), F.lit(-1).alias("delta")),
-            )
-        ),
-    )
-    stretch = F.expr(f"__step.at div {max(1, seconds * SECOND // STRETCHES_PER_LOOKBACK)}L")
-    steps = steps.withColumns({"__at": F.col("__step.at"), "__delta": F.col("__step.delta"), "__stretch": stretch})
+    span = seconds * SECOND
     keys = [merchant, amount, "__slice"]
-    before = W.partitionBy(*keys).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        steps.groupBy(*keys, "__stretch")
-        .agg(F.sum("__delta").alias("__sum"))
-        .withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-        .drop("__sum")
+    sliced = time_slices(_known(txns, merchant, amount, card), ts, seconds).withColumn(
+        "__bucket", F.pmod(F.xxhash64(*keys), F.lit(HEAT_BUCKETS))
     )
-    running = W.partitionBy(*keys, "__stretch").orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    counted = (
-        steps.join(starts, [*keys, "__stretch"])
-        .withColumn("ring_cards", F.col("__start") + F.sum("__delta").over(running))
-        .filter((F.col("__delta") == 1) & (F.col("ring_cards") >= cards))
-        .select(*txns.columns, "__us", "__slice", "__own", "ring_cards")
+    sizes = sliced.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(sizes.filter(F.col("__n") > hot_rows).select("__bucket"))  # at most one row per bucket
+    steps = partial(_ring_steps, keys=keys, card=card, order=order, span=span)
+    calm = sliced.join(hot, "__bucket", "left_anti")
+    if cards > 1:  # a charge alone is a ring of one
+        calm = _in_company(calm, keys, span)
+    sized = _count_by_group(calm, keys, steps).unionByName(
+        _count_by_stretch(sliced.join(hot, "__bucket", "left_semi"), keys, steps, span), allowMissingColumns=True
     )
-    return _own(counted)
+    found = sized.filter((F.col("__delta") == 1) & (F.col("ring_cards") >= cards))
+    return _own(found).select(*txns.columns, "ring_cards")

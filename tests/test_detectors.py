@@ -143,3 +143,36 @@ def test_a_hot_card_is_spread_over_its_slices(spark):
     assert sliced.filter("__own").count() == 2000
     with pytest.raises(ValueError):
         detectors.time_slices(df, "transaction_ts", 300, slice_seconds=10)
+
+
+@pytest.mark.parametrize("hot_rows", [0, 40, 10**6])
+@pytest.mark.parametrize("cards", [1, 2, 3])
+def test_hot_prices_change_no_ring(spark, hot_rows, cards):
+    """A dense price, sparse ones, ties, lone charges, both zeros and a missing time, compared with a look at every pair."""
+    rng = random.Random(cards)
+    entries = [(rng.randrange(0, 5000), {"card": rng.choice("abcde"), "amount": 7.0}) for _ in range(120)]
+    entries += [
+        (rng.randrange(0, 90000), {"card": rng.choice("abc"), "merchant": rng.choice("AB"), "amount": rng.choice([0.0, -0.0, 3.0])})
+        for _ in range(150)
+    ]
+    entries += [(2400, {"card": c, "merchant": "E"}) for c in "aab"] + [(2100, {"card": "z", "merchant": "E"})]
+    df = frame(spark, entries)
+    data = [r.asDict() for r in df.collect()]
+    lost = df.limit(2).withColumn("transaction_ts", F.lit(None).cast("timestamp_ntz"))
+    back = timedelta(seconds=300)
+    found = detectors.collusion_rings(df.unionByName(lost), seconds=300, cards=cards, hot_rows=hot_rows)
+    assert rows(found, "transaction_id", "ring_cards") == sorted(
+        (r["transaction_id"], n)
+        for r in data
+        if (
+            n := len(
+                {
+                    o["card_id"]
+                    for o in data
+                    if (o["merchant_id"], o["amount"]) == (r["merchant_id"], r["amount"])
+                    and r["transaction_ts"] - back <= o["transaction_ts"] <= r["transaction_ts"]
+                }
+            )
+        )
+        >= cards
+    )
