@@ -108,3 +108,39 @@ def test_the_stage_asks_the_ring_first(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ring(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3] and len(asked) == 1
+
+
+def test_the_stage_leaves_no_pair_out_on_odd_rows(spark):
+    """Short texts, blanks, cases, nulls, repeated ids and rows, and pairs on, just above and just below the limit."""
+    lower = str.maketrans("ABCSTUWX", "abcstuwx")
+    rng, rows = random.Random(17), []
+    for n in range(40):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 4, 5, 6, 9, 13, 40]))]
+        for _ in range(rng.randint(1, 4)):
+            other = list(words)
+            if other and rng.random() < 0.6:
+                other[rng.choice([0, -1])] = f"x{rng.randrange(3)}"
+            text = rng.choice([" ", "\t", " \n", "\r\n "]).join(other)
+            rows.append((rng.choice([None, n, n, 100 + rng.randrange(60)]), rng.choice([text, text, text.upper(), f" {text}\n"])))
+    rows += [(200, None), (None, None), (201, ""), rows[0], rows[0], (202, "a b c"), (203, "A B C"), (204, "É é"), (205, "é é")]
+    same = " ".join(f"s{i}" for i in range(40))  # 36 shingles; 4 of 5 shared is 32 of 40
+    rows += [(300, same), (301, same + "".join(f" t{i}" for i in range(9))), (302, " ".join(f"u{i}" for i in range(10)) + " " + same)]
+    held = []
+    for _, text in rows:
+        words = (text or "").translate(lower).split()
+        held.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, x in enumerate(held):
+        for j, y in enumerate(held[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least.setdefault(find(i), []).append((key is None, key or 0))
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(min(keys) for keys in least.values())
+    assert {301, 302} & {r.doc_id for r in kept} == {302}  # 36 of 45 shared is a link, 36 of 46 is none
